@@ -11,6 +11,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Distribution function of a unit Poisson draw, up to the resolution of `uniform`.
+UNIT_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
 # Above this rate a Poisson draw uses the corrected normal form.
 EXACT_RATE = 64
 
@@ -56,15 +59,18 @@ def uniform(key: Column, part: int = 0) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson(rate: Column, key: Column) -> Column:
-    """A repeatable Poisson draw with the given whole rate.
+def poisson(rate: Column, u: Column, u2: Column) -> Column:
+    """A Poisson draw with the given whole rate from two uniforms.
 
     Up to `EXACT_RATE` the distribution function is inverted exactly; above, a
     normal draw with the skewness correction of the quantile expansion is
-    rounded. The sum of `rate` independent unit draws has this distribution.
+    rounded. The common rate 1 compares with fixed bounds. The sum of `rate` independent unit draws has this distribution.
     """
-    u = uniform(key)
     rate = rate.cast("double")
+    unit = F.when(u < UNIT_CDF[0], F.lit(0))
+    for k, below in enumerate(UNIT_CDF[1:], start=1):
+        unit = unit.when(u < below, F.lit(k))
+    unit = unit.otherwise(F.lit(len(UNIT_CDF))).cast("bigint")
     last = F.ceil(rate + 10 * F.sqrt(rate) + 15).cast("int")
     step = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).cast("bigint").alias("k"))
     exact = F.aggregate(
@@ -77,6 +83,6 @@ def poisson(rate: Column, key: Column) -> Column:
         ),
         lambda acc: acc["k"],
     )
-    z = F.sqrt(-2.0 * F.log(F.lit(1.0) - u)) * F.cos(2.0 * math.pi * uniform(key, 1))
+    z = F.sqrt(-2.0 * F.log(F.lit(1.0) - u)) * F.cos(2.0 * math.pi * u2)
     wide = F.floor(rate + F.sqrt(rate) * z + (z * z - 1) / 6 + 0.5)
-    return F.when(rate <= EXACT_RATE, exact).otherwise(F.greatest(wide, F.lit(0).cast("bigint")))
+    return F.when(rate == 1, unit).when(rate <= EXACT_RATE, exact).otherwise(F.greatest(wide, F.lit(0).cast("bigint")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import MIN_CELL, RAW_FLAGS, monotone_flags, strict_flags
-from ..functions.special import poisson
+from ..functions.special import poisson, uniform
 from .stats import chi_square_counts
 from .visitors import purchase_credits, spearman
 
@@ -41,11 +41,20 @@ def _fields(df: DataFrame, items: str) -> list[str]:
 
 
 def _replicated(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
-    """Each pattern once per replicate, with its total weight `w`."""
+    """Each pattern once per replicate, with its total weight `w`.
+
+    Patterns are few and small, but each grows into `reps` lines: they are
+    spread first, so that small partitions are not merged into one task.
+    """
+    tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("pattern"))
-    return patterns.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep")
-    ).withColumn("w", F.when(F.col("rep") == 0, F.col("m")).otherwise(poisson(F.col("m"), key)))
+    drawn = poisson(F.col("m"), F.col("u"), F.col("u2"))
+    return (
+        patterns.repartition(tasks, "pattern")
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
+        .withColumns({"u": uniform(key), "u2": uniform(key, 1)})
+        .withColumn("w", F.when(F.col("rep") == 0, F.col("m")).otherwise(drawn))
+    )
 
 
 def reach_patterns(P: DataFrame, group: str, version: str = "mono", by: Sequence[str] = ()) -> DataFrame:

@@ -79,7 +79,7 @@ def attribution_shift(visitors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     are left out.
     """
     places = {
-        name: F.rank().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(name)))
+        name: F.rank().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(name))).cast("bigint")
         for name in ("last_click", "first_touch")
     }
     credited = (

@@ -22,7 +22,7 @@ from ..operators import sessions as se
 from ..operators import stats as st
 from ..operators import visitors as vi
 from ..sources.events import hits_from_events, nested_from_events, rows_from_events
-from ..sources.schemas import RESULTS, result_columns
+from ..sources.schemas import RESULTS
 from ..sources.tables import (
     read_optional,
     read_result,
@@ -105,7 +105,7 @@ def stored_optional(query: Query, name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         path = shared_dir(spark, name)
         write_result(query(spark, folder), path)
-        found = read_optional(spark, path, result_columns(name))
+        found = read_optional(spark, path, RESULTS[name])
         return found if found is not None else spark.createDataFrame([], RESULTS[name])
 
     return run

@@ -60,19 +60,16 @@ NETWORK = [
 ]
 
 
-def _by_range(c: Column, ranges: list[tuple[int, int, str | None]]) -> Column:
-    out = F.when(c.between(ranges[0][0], ranges[0][1]), ranges[0][2])
-    for first, last, value in ranges[1:]:
-        out = out.when(c.between(first, last), value)
-    return out.otherwise(F.lit(None).cast("string"))
+def _by_range(column: str, ranges: list[tuple[int, int, str | None]], name: str) -> Column:
+    whens = " ".join(
+        f"WHEN {column} BETWEEN {first} AND {last} THEN '{value}'" for first, last, value in ranges if value is not None
+    )
+    return F.expr(f"CASE {whens} END").alias(name)
 
 
-def _by_type(values: dict[str, str]) -> Column:
-    kind = F.col("event_type")
-    out = None
-    for name, value in values.items():
-        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
-    return out
+def _by_type(values: dict[str, str], name: str) -> Column:
+    whens = " ".join(f"WHEN '{kind}' THEN '{value}'" for kind, value in values.items())
+    return F.expr(f"CASE event_type {whens} END").alias(name)
 
 
 def _stamped(events: DataFrame, slot_seconds: int) -> DataFrame:
@@ -86,8 +83,8 @@ def _stamped(events: DataFrame, slot_seconds: int) -> DataFrame:
         "ts",
         "event_id",
         F.when(F.col("event_type") == "error", "EVENT").otherwise("PAGE").alias("type"),
-        _by_type(PAGE_PATH).alias("page_path"),
-        F.when(F.col("event_id") % 11 != 0, _by_type(ACTION_TYPE)).alias("action_type"),
+        _by_type(PAGE_PATH, "page_path"),
+        F.when(F.col("event_id") % 11 != 0, _by_type(ACTION_TYPE, "action_type")).alias("action_type"),
         purchase.alias("is_purchase"),
         F.when(
             purchase & (F.col("event_id") % 5 != 0),
@@ -108,23 +105,29 @@ def _numbered_cells(cells: DataFrame) -> DataFrame:
 
 def _with_attributes(rows: DataFrame) -> DataFrame:
     """Traffic, device and place of a row, from the visitor and the visit's ordinal."""
-    user = F.col("fullVisitorId").cast("bigint")
-    k = (user * 7 + F.col("visit_ord") * 11) % 40
-    even_visit = F.col("visit_ord") % 2 == 0
-    true_direct = k.between(19, 24) | ((k.between(7, 10) | k.between(25, 28)) & even_visit)
-    first_visit = (F.col("visit_ord") == 1) & (user % 10 != 0)
-    return rows.select(
-        "*",
-        (F.col("visit_ord") + F.when(user % 10 == 0, 3).otherwise(0)).cast("bigint").alias("visitNumber"),
-        _by_range(k, CHANNEL).alias("channel"),
-        _by_range(k, SOURCE).alias("source"),
-        _by_range(k, MEDIUM).alias("medium"),
-        F.when(true_direct, True).alias("is_true_direct"),
-        _by_range(k, REFERRAL_PATH).alias("referral_path"),
-        _by_range(user % 10, DEVICE).alias("device"),
-        _by_range(user % 30, COUNTRY).alias("country"),
-        _by_range(user % 9, NETWORK).alias("net_domain"),
-        F.when(first_visit, F.lit(1).cast("bigint")).alias("new_visits"),
+    numbered = rows.withColumn("user", F.col("fullVisitorId").cast("bigint")).withColumns(
+        {
+            "k": F.expr("(user * 7 + visit_ord * 11) % 40"),
+            "of_10": F.expr("user % 10"),
+            "of_30": F.expr("user % 30"),
+            "of_9": F.expr("user % 9"),
+        }
+    )
+    return numbered.select(
+        *rows.columns,
+        F.expr("CAST(visit_ord + IF(of_10 = 0, 3, 0) AS BIGINT)").alias("visitNumber"),
+        _by_range("k", CHANNEL, "channel"),
+        _by_range("k", SOURCE, "source"),
+        _by_range("k", MEDIUM, "medium"),
+        F.expr(
+            "CASE WHEN k BETWEEN 19 AND 24 THEN TRUE "
+            "WHEN visit_ord % 2 = 0 AND (k BETWEEN 7 AND 10 OR k BETWEEN 25 AND 28) THEN TRUE END"
+        ).alias("is_true_direct"),
+        _by_range("k", REFERRAL_PATH, "referral_path"),
+        _by_range("of_10", DEVICE, "device"),
+        _by_range("of_30", COUNTRY, "country"),
+        _by_range("of_9", NETWORK, "net_domain"),
+        F.expr("IF(visit_ord = 1 AND of_10 <> 0, CAST(1 AS BIGINT), NULL)").alias("new_visits"),
     )
 
 

@@ -78,7 +78,3 @@ RESULTS: dict[str, str] = {
     "pct_returning double",
     "27_funnel_by_device_variants": f"variant string, device string, sessions bigint, {_MONO}, {_STRICT}",
 }
-
-
-def result_columns(name: str) -> list[str]:
-    return [column.split()[0] for column in RESULTS[name].split(", ")]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +41,19 @@ def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
 
 
-def read_optional(spark: SparkSession, path: str, required: Iterable[str]) -> DataFrame | None:
-    """Result table, or None when the path or a required column is missing."""
+def read_optional(spark: SparkSession, path: str, required: str) -> DataFrame | None:
+    """Result table, or None when the path or a required column is missing.
+
+    `required` declares the needed columns as DDL; others are kept as text.
+    """
     try:
-        df = spark.read.csv(path, header=True, inferSchema=True)
+        found = spark.read.csv(path, header=True)
     except AnalysisException:
         return None
-    return df if set(required) <= set(df.columns) else None
+    types = dict(column.split(" ", 1) for column in required.split(", "))
+    if not set(types) <= set(found.columns):
+        return None
+    return found.withColumns({name: F.col(name).cast(kind) for name, kind in types.items()})
 
 
 def write_result(df: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
