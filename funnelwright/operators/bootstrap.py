@@ -57,15 +57,22 @@ def _replicated(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
     )
 
 
-def reach_patterns(P: DataFrame, group: str, version: str = "mono", by: Sequence[str] = ()) -> DataFrame:
-    """Visitor patterns of (group, depth, sessions); depth is the number of steps reached."""
+def reach_patterns(
+    P: DataFrame, group: str, version: str = "mono", by: Sequence[str] = (), unit: str = "visitor"
+) -> DataFrame:
+    """Patterns of (group, depth, sessions); depth is the number of steps reached.
+
+    With `unit="session"` every session is resampled on its own. Then there are
+    only groups times depths patterns, whatever the size of the data; sessions
+    of one visitor count as independent.
+    """
     flags = monotone_flags(*RAW_FLAGS) if version == "mono" else strict_flags(*RAW_FLAGS)
     depth = sum(flags.values(), F.lit(0))
-    cells = (
-        P.select(*by, "fullVisitorId", F.coalesce(F.col(group), F.lit("")).alias("g"), depth.alias("depth"))
-        .groupBy(*by, "fullVisitorId", "g", "depth")
-        .agg(F.count("*").alias("n"))
-    )
+    tagged = P.select(*by, "fullVisitorId", F.coalesce(F.col(group), F.lit("")).alias("g"), depth.alias("depth"))
+    if unit == "session":
+        one = F.struct("g", "depth", F.lit(1).cast("bigint").alias("n"))
+        return _patterns(tagged.select(*by, F.array(one).alias("items")), "items", by)
+    cells = tagged.groupBy(*by, "fullVisitorId", "g", "depth").agg(F.count("*").alias("n"))
     units = cells.groupBy(*by, "fullVisitorId").agg(
         F.array_sort(F.collect_list(F.struct("g", "depth", "n"))).alias("items")
     )
@@ -73,10 +80,10 @@ def reach_patterns(P: DataFrame, group: str, version: str = "mono", by: Sequence
 
 
 def _step_cells(
-    P: DataFrame, group: str, reps: int, seed: int, version: str, by: Sequence[str], minimum: int
+    P: DataFrame, group: str, reps: int, seed: int, version: str, by: Sequence[str], minimum: int, unit: str
 ) -> DataFrame:
     """Weighted (entered, passed) of the first and last step per replicate and group."""
-    drawn = _replicated(reach_patterns(P, group, version, by), reps, seed)
+    drawn = _replicated(reach_patterns(P, group, version, by, unit), reps, seed)
     item = F.col("item")
 
     def reached(d: int) -> Column:
@@ -114,10 +121,10 @@ def _interval(values: DataFrame, value: str, by: Sequence[str], level: float) ->
 
 def bootstrap_v_diff(
     P: DataFrame, group: str, reps: int = 1000, seed: int = 1, version: str = "mono",
-    by: Sequence[str] = (), minimum: int = MIN_CELL, level: float = 0.95,
+    by: Sequence[str] = (), minimum: int = MIN_CELL, level: float = 0.95, unit: str = "visitor",
 ) -> DataFrame:
     """Interval of Cramer's V on the first step minus V on the last; confirmed when above 0."""
-    cells = _step_cells(P, group, reps, seed, version, by, minimum)
+    cells = _step_cells(P, group, reps, seed, version, by, minimum, unit)
     v = chi_square_counts(cells, [*by, "rep", "step"], "entered", "passed")
 
     def of(step: str) -> Column:
@@ -129,10 +136,10 @@ def bootstrap_v_diff(
 
 def bootstrap_gap_diff(
     P: DataFrame, group: str, a: str, b: str, reps: int = 1000, seed: int = 1, version: str = "mono",
-    by: Sequence[str] = (), minimum: int = MIN_CELL, level: float = 0.95,
+    by: Sequence[str] = (), minimum: int = MIN_CELL, level: float = 0.95, unit: str = "visitor",
 ) -> DataFrame:
     """Interval of the last-step gap minus the first-step gap, `a` minus `b`, in percentage points."""
-    cells = _step_cells(P.where(F.col(group).isin(a, b)), group, reps, seed, version, by, minimum)
+    cells = _step_cells(P.where(F.col(group).isin(a, b)), group, reps, seed, version, by, minimum, unit)
     rate = F.lit(100.0) * F.col("passed") / F.nullif(F.col("entered"), F.lit(0))
 
     def of(g: str, step: str) -> Column:

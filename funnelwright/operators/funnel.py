@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import top_k_per_group
@@ -75,12 +75,20 @@ def monotone_confound(P: DataFrame, group_col: str) -> DataFrame:
 
 
 def channel_composition(P: DataFrame, n: int = 5) -> DataFrame:
-    """Top `n` (source, medium) per channel and their share of the channel."""
+    """Top `n` (source, medium) per channel and their share of the channel.
+
+    Channel totals are their own aggregate of the counts, so the origins of a
+    channel are never brought together in one task.
+    """
     counted = P.groupBy("channel", "source", "medium").agg(F.count("*").alias("sessions"))
-    whole = F.sum("sessions").over(Window.partitionBy("channel"))
-    shared = counted.withColumn("pct_of_channel", pct(F.col("sessions"), whole))
-    top = top_k_per_group(shared, "channel", [F.desc("sessions"), F.col("source"), F.col("medium")], n)
-    return top.orderBy("channel", F.desc("sessions"), "source", "medium")
+    whole = counted.groupBy("channel").agg(F.sum("sessions").alias("whole"))
+    top = top_k_per_group(counted, "channel", [F.desc("sessions"), F.col("source"), F.col("medium")], n)
+    return (
+        top.join(whole, "channel")
+        .withColumn("pct_of_channel", pct(F.col("sessions"), F.col("whole")))
+        .drop("whole")
+        .orderBy("channel", F.desc("sessions"), "source", "medium")
+    )
 
 
 def channel_concentration(P: DataFrame) -> DataFrame:

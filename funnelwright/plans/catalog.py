@@ -21,7 +21,7 @@ from ..operators import segments as sg
 from ..operators import sessions as se
 from ..operators import stats as st
 from ..operators import visitors as vi
-from ..sources.events import hits_from_events, nested_from_events, rows_from_events
+from ..sources.events import hits_from_events, nested_from_events, rows_from_events, transaction_hits_from_events
 from ..sources.schemas import RESULTS
 from ..sources.tables import (
     read_optional,
@@ -54,6 +54,10 @@ def hits(spark: SparkSession, folder: str) -> DataFrame:
     return hits_from_events(events(spark, folder))
 
 
+def tx_hits(spark: SparkSession, folder: str) -> DataFrame:
+    return transaction_hits_from_events(events(spark, folder))
+
+
 def nested(spark: SparkSession, folder: str) -> DataFrame:
     return nested_from_events(events(spark, folder))
 
@@ -159,8 +163,7 @@ def country_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def reissued_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The two most re-issued transactions, hit by hit."""
-    one = hits(spark, folder)
-    return qu.tx_hits(one, qu.tx_duplicate_examples(one, 2))
+    return qu.tx_hits(hits(spark, folder), qu.tx_duplicate_examples(tx_hits(spark, folder), 2))
 
 
 funnel_by_channel = _on(population, fu.funnel_by, "channel")
@@ -175,15 +178,15 @@ funnel_variants: Query = lambda spark, folder: fu.funnel_by_variants(
 gaps: Query = lambda spark, folder: qu.funnel_gaps(qu.session_steps(rows(spark, folder)))
 cross = _on(population, sg.channel_device_cross)
 truth = _on(rows, qu.revenue_source_of_truth)
-rev_hits = _on(hits, qu.rev_hits_distribution)
+rev_hits = _on(tx_hits, qu.rev_hits_distribution)
 exclusions = _on(sessions, fu.exclusions_reconciliation)
 
 NAMED: dict[str, Query] = {
     "q01_unknown_channels": _on(rows, qu.unknown_channels),
     "q02_session_duplicates": _on(rows, qu.session_duplicates),
     "q03_funnel_steps": gaps,
-    "q04_tx_duplicates": _on(hits, qu.tx_duplicates),
-    "q04b_tx_duplicates_examples": _on(hits, qu.tx_duplicate_examples),
+    "q04_tx_duplicates": _on(tx_hits, qu.tx_duplicates),
+    "q04b_tx_duplicates_examples": _on(tx_hits, qu.tx_duplicate_examples),
     "q05_revenue_distribution": _on(rows, qu.revenue_distribution),
     "q05b_revenue_source_of_truth": truth,
     "q06_null_pageviews": _on(rows, qu.null_pageviews),
@@ -228,7 +231,7 @@ DERIVED: dict[str, Query] = {
     "m03_key_diagnosis": _on(rows, qu.key_diagnosis),
     "m04_missing_steps": _on(gaps, qu.missing_steps),
     "m05_purchase_reconciliation": lambda s, d: qu.purchase_reconciliation(
-        gaps(s, d), qu.tx_duplicates(hits(s, d)), qu.revenue_distribution(rows(s, d))
+        gaps(s, d), qu.tx_duplicates(tx_hits(s, d)), qu.revenue_distribution(rows(s, d))
     ),
     "m06_revenue_gap": _on(truth, qu.revenue_gap),
     "m07_reissue_summary": lambda s, d: qu.reissue_summary(rev_hits(s, d), truth(s, d)),
@@ -301,6 +304,9 @@ STATISTICS: dict[str, Query] = {
     "s04_bootstrap_v": _rounded(
         _on(population, bs.bootstrap_v_diff, "channel", REPS), 9, "estimate", "low", "high"
     ),
+    "s04b_bootstrap_v_sessions": _rounded(
+        _on(population, bs.bootstrap_v_diff, "channel", REPS, unit="session"), 9, "estimate", "low", "high"
+    ),
     "s05_z_test": _rounded(lambda s, d: _z_tests(s, d).drop("step_no"), 8, "z", "p_value", "p_holm"),
     "s06_bootstrap_gap": _rounded(
         _on(_hidden_pair, bs.bootstrap_gap_diff, "device", "desktop", "mobile", REPS, by=["variant"]),

@@ -364,7 +364,11 @@ def reach_draws(source: str, group: str, keys: str = "") -> str:
 person_p AS (SELECT {keys}"fullVisitorId", STRING_AGG(g || ':' || depth || ':' || n, ',' ORDER BY g, depth, n) AS pattern,
   LIST({{'g': g, 'depth': depth, 'n': n}} ORDER BY g, depth, n) AS items FROM unit GROUP BY {keys}"fullVisitorId"),
 pat AS (SELECT {keys}pattern, items, COUNT(*) AS m FROM person_p GROUP BY ALL),
-{DRAWS},
+{reached_steps(keys)}"""
+
+
+def reached_steps(keys: str = "") -> str:
+    return f"""{DRAWS},
 flat AS (SELECT {keys}rep, w, UNNEST(items) AS i FROM drawn),
 rg AS (SELECT {keys}rep, i.g AS g, SUM(w * i.n) AS n0, SUM(CASE WHEN i.depth >= 1 THEN w * i.n ELSE 0 END) AS n1,
   SUM(CASE WHEN i.depth >= 3 THEN w * i.n ELSE 0 END) AS n3, SUM(CASE WHEN i.depth >= 4 THEN w * i.n ELSE 0 END) AS n4
@@ -383,6 +387,8 @@ def interval(source: str, value: str, keys: str = "", verdict: bool = True) -> s
   COUNT({value}) FILTER (WHERE rep > 0) AS replicates{confirmed} FROM {source} {group}"""
 
 
+V_DIFFS = """vs AS (SELECT rep, MAX(CASE WHEN step = 'first' AND df >= 1 THEN SQRT(chi2 / n) END)
+  - MAX(CASE WHEN step = 'last' AND df >= 1 THEN SQRT(chi2 / n) END) AS diff FROM chi GROUP BY rep)"""
 REVENUE_BY = """SELECT {keys}channel, COUNT(*) AS sessions, CAST(SUM(purchase_raw) AS BIGINT) AS purchase_sessions,
   COUNT(revenue) AS sessions_with_revenue, CAST(SUM(revenue) AS BIGINT) / 1e6 AS revenue_usd,
   CAST(SUM(revenue) FILTER (WHERE purchase_raw = 1) AS BIGINT) / 1e6
@@ -658,9 +664,12 @@ FROM n v, (SELECT * FROM n WHERE variant = 'all') a WHERE v.variant <> 'all'""")
     "s03_holm": cte(*CHI, holm("p_value", "version", "tests"), """SELECT version, step, ROUND(p_value, 8) AS p_value,
   ROUND(p_holm, 8) AS p_holm, p_holm < 0.05 AS significant FROM hp"""),
     "s04_bootstrap_v": cte(reach_draws("pop", "channel"), chi_of("rc", "rep, step", "entered", "passed"),
-        """vs AS (SELECT rep, MAX(CASE WHEN step = 'first' AND df >= 1 THEN SQRT(chi2 / n) END)
-  - MAX(CASE WHEN step = 'last' AND df >= 1 THEN SQRT(chi2 / n) END) AS diff FROM chi GROUP BY rep)""",
+        V_DIFFS,
         interval("vs", "diff")),
+    "s04b_bootstrap_v_sessions": cte(
+        """pat AS (SELECT channel || ':' || depth || ':1' AS pattern, [{'g': channel, 'depth': depth, 'n': 1}] AS items,
+  COUNT(*) AS m FROM (SELECT channel, view_m + cart_m + checkout_m + purchase_m AS depth FROM pop) GROUP BY channel, depth)""",
+        reached_steps(), chi_of("rc", "rep, step", "entered", "passed"), V_DIFFS, interval("vs", "diff")),
     "s05_z_test": cte(VARIANTS, VARIANT_FUNNEL, long_of("device", keys="variant, "),
         """zz AS (SELECT variant, version, step, step_no, a.prev_n AS n_a, a.n AS k_a, b.prev_n AS n_b, b.n AS k_b,
   (a.n + b.n) / CAST(a.prev_n + b.prev_n AS DOUBLE) AS pooled

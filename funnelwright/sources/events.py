@@ -194,6 +194,24 @@ def rows_from_events(events: DataFrame, slot_seconds: int = ROW_SLOT_SECONDS) ->
     )
 
 
+def _visit_of_cells(stamped: DataFrame) -> DataFrame:
+    """Per cell: its visit, and the visit's hits before the cell."""
+    by_visit = Window.partitionBy("fullVisitorId", "visit_ord")
+    before = by_visit.orderBy("date", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    cells = stamped.groupBy(*CELL_KEY).agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min("event_id").alias("first_id"),
+        F.count("*").alias("cell_hits"),
+    )
+    return (
+        _numbered_cells(cells)
+        .withColumn("visitId", F.min("first_id").over(by_visit))
+        .withColumn("hits_before", F.coalesce(F.sum("cell_hits").over(before), F.lit(0)))
+        .select(*CELL_KEY, "visitId", "hits_before")
+    )
+
+
 def hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) -> DataFrame:
     """Hit facts (see `operators.sessions.hit_facts`), one per event.
 
@@ -202,40 +220,41 @@ def hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) ->
     visit comes from the cells.
     """
     stamped = _stamped(events, slot_seconds)
-    by_visit = Window.partitionBy("fullVisitorId", "visit_ord")
-    before = by_visit.orderBy("date", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        _numbered_cells(
-            stamped.groupBy(*CELL_KEY).agg(
-                F.min("ts").alias("first_ts"),
-                F.max("ts").alias("last_ts"),
-                F.min("event_id").alias("first_id"),
-                F.count("*").alias("cell_hits"),
-            )
-        )
-        .withColumn("visitId", F.min("first_id").over(by_visit))
-        .withColumn("hits_before", F.coalesce(F.sum("cell_hits").over(before), F.lit(0)))
-        .select(*CELL_KEY, "visitId", "visit_ord", "hits_before")
-    )
     in_cell = Window.partitionBy(*CELL_KEY).orderBy("ts", "event_id")
     return (
-        stamped.join(cells, CELL_KEY)
+        stamped.join(_visit_of_cells(stamped), CELL_KEY)
         .withColumn("hitNumber", (F.col("hits_before") + F.row_number().over(in_cell)).cast("bigint"))
         .select(
-            "fullVisitorId",
-            "visitId",
+            *ROW_KEY[:2],
             F.col("date").cast("string").alias("date"),
-            "visit_ord",
             "hitNumber",
             "type",
             "page_path",
             "action_type",
-            F.when(F.col("is_purchase"), F.concat(F.lit("ORD"), F.col("visitId").cast("string"))).alias("tx_id"),
+            F.when(F.col("is_purchase"), _tx_id()).alias("tx_id"),
             "tx_revenue",
         )
     )
 
 
+def transaction_hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) -> DataFrame:
+    """The hits that carry a transaction, without hit numbers.
+
+    Visits are found on all events, but only purchases enter the join.
+    """
+    stamped = _stamped(events, slot_seconds)
+    return (
+        stamped.where("is_purchase")
+        .join(_visit_of_cells(stamped), CELL_KEY)
+        .select(*ROW_KEY[:2], F.col("date").cast("string").alias("date"), _tx_id().alias("tx_id"), "tx_revenue")
+    )
+
+
+def _tx_id() -> Column:
+    """Repeated purchases of a visit re-issue one id."""
+    return F.concat(F.lit("ORD"), F.col("visitId").cast("string"))
+
+
 def nested_from_events(events: DataFrame, piece_hits: int = PIECE_HITS) -> DataFrame:
     """Nested session rows in the shape of `schemas.RAW_SESSION`.
 
