@@ -29,7 +29,8 @@ def exact_percentiles(df: DataFrame, value: str, percents: dict[str, int], width
     each bucket orders its own distinct values. Returns one row.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    counted = counted.withColumn("bucket", F.floor(F.col("v") / width))
+    # never NULL, so that no filter is inferred on one side only and the counts are computed once
+    counted = counted.withColumn("bucket", F.coalesce(F.floor(F.col("v") / width), F.lit(0)))
     ordered = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = counted.groupBy("bucket").agg(F.sum("n").alias("bucket_n")).select(
         "bucket",
