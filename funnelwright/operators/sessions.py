@@ -140,7 +140,7 @@ def session_steps_exploded(hits: DataFrame) -> DataFrame:
 
 def normalise_origin(rows: DataFrame) -> DataFrame:
     """NULL source, medium and network become '' so that LIKE rules keep the row."""
-    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "medium", "net_domain")})
+    return rows.withColumns({c: F.expr(f"coalesce({c}, '')") for c in ("source", "medium", "net_domain")})
 
 
 def behavioural_sessions(rows: DataFrame) -> DataFrame:
@@ -159,8 +159,8 @@ def behavioural_sessions(rows: DataFrame) -> DataFrame:
             F.min("date").alias("date"),
             *[F.min_by(c, "date").alias(c) for c in attributes],
             F.max("visitNumber").alias("visit_number"),
-            F.max(flag(F.col("is_true_direct"))).alias("is_true_direct"),
-            F.max(flag(F.col("referral_path").isNotNull())).alias("has_referral_path"),
+            F.expr("max(IF(is_true_direct, 1, 0))").alias("is_true_direct"),
+            F.expr("max(IF(referral_path IS NOT NULL, 1, 0))").alias("has_referral_path"),
             F.sum("n_hits").alias("n_hits"),
             *[F.max(c).alias(c) for c in RAW_FLAGS],
             F.sum("revenue").alias("revenue"),

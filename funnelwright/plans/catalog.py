@@ -22,7 +22,7 @@ from ..operators import sessions as se
 from ..operators import stats as st
 from ..operators import visitors as vi
 from ..sources.events import hits_from_events, nested_from_events, rows_from_events, transaction_hits_from_events
-from ..sources.schemas import RESULTS
+from ..sources.schemas import EVENTS, RESULTS
 from ..sources.tables import (
     read_optional,
     read_result,
@@ -43,7 +43,7 @@ FIRST_DAY, LAST_DAY = "2024-01-08", "2024-01-21"
 # ---- inputs ----------------------------------------------------------------
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:

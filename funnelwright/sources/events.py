@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import ACTION_CODES, RAW_FLAGS, flag
+from ..functions.rules import ACTION_CODES, RAW_FLAGS
 
 VISIT_PAUSE = "INTERVAL '12' HOUR"
 ROW_SLOT_SECONDS = 3600
@@ -74,21 +74,19 @@ def _by_type(values: dict[str, str], name: str) -> Column:
 
 def _stamped(events: DataFrame, slot_seconds: int) -> DataFrame:
     """Events with their cell and their hit fields; only the needed columns."""
-    second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts").cast("int")
-    purchase = F.col("event_type") == "purchase"
     return events.select(
-        F.col("user_id").cast("string").alias("fullVisitorId"),
-        F.to_date("ts").alias("date"),
-        F.floor(second / slot_seconds).cast("int").alias("slot"),
+        F.expr("CAST(user_id AS STRING)").alias("fullVisitorId"),
+        F.expr("CAST(ts AS DATE)").alias("date"),
+        F.expr(f"(hour(ts) * 3600 + minute(ts) * 60 + second(ts)) DIV {slot_seconds}").alias("slot"),
         "ts",
         "event_id",
-        F.when(F.col("event_type") == "error", "EVENT").otherwise("PAGE").alias("type"),
+        F.expr("IF(event_type = 'error', 'EVENT', 'PAGE')").alias("type"),
         _by_type(PAGE_PATH, "page_path"),
-        F.when(F.col("event_id") % 11 != 0, _by_type(ACTION_TYPE, "action_type")).alias("action_type"),
-        purchase.alias("is_purchase"),
-        F.when(
-            purchase & (F.col("event_id") % 5 != 0),
-            F.floor(F.col("value") * 100 + 0.5).cast("bigint") * 10000,
+        F.when(F.expr("event_id % 11 <> 0"), _by_type(ACTION_TYPE, "action_type")).alias("action_type"),
+        F.expr("event_type = 'purchase'").alias("is_purchase"),
+        F.expr(
+            "CASE WHEN event_type = 'purchase' AND event_id % 5 <> 0 "
+            "THEN CAST(FLOOR(value * 100 + 0.5D) AS BIGINT) * 10000 END"
         ).alias("tx_revenue"),
     )
 
@@ -96,11 +94,13 @@ def _stamped(events: DataFrame, slot_seconds: int) -> DataFrame:
 def _numbered_cells(cells: DataFrame) -> DataFrame:
     """Cells with the ordinal of their visit among the visitor's visits."""
     ordered = Window.partitionBy("fullVisitorId").orderBy("date", "slot")
-    pause_over = F.lag("last_ts").over(ordered) + F.expr(VISIT_PAUSE) < F.col("first_ts")
-    starts = flag(F.coalesce(pause_over, F.lit(True)))
-    return cells.withColumn("starts", starts).withColumn(
-        "visit_ord", F.sum("starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("starts")
+    previous = F.lag("last_ts").over(ordered)
+    return (
+        cells.withColumn("previous", previous)
+        .withColumn("starts", F.expr(f"IF(previous + {VISIT_PAUSE} >= first_ts, 0, 1)"))
+        .withColumn("visit_ord", F.sum("starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("previous", "starts")
+    )
 
 
 def _with_attributes(rows: DataFrame) -> DataFrame:
@@ -137,23 +137,22 @@ def rows_from_events(events: DataFrame, slot_seconds: int = ROW_SLOT_SECONDS) ->
     Two exchanges: the pre-aggregated cells by cell key, then the cells by
     visitor; the row, session and visitor levels above reuse the second one.
     """
-    stamped = _stamped(events, slot_seconds)
-    is_page = F.col("type") == "PAGE"
-    flags = [F.max(flag(F.col("action_type") == code)).alias(name) for name, code in zip(RAW_FLAGS, ACTION_CODES)]
-    cells = stamped.groupBy(*CELL_KEY).agg(
+    cells = _stamped(events, slot_seconds).groupBy(*CELL_KEY).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.min("event_id").alias("first_id"),
         F.count("*").alias("n_hits"),
-        F.count_if(is_page).alias("n_pages"),
-        F.max(flag(F.col("is_purchase"))).alias("has_tx"),
+        F.expr("count_if(type = 'PAGE')").alias("n_pages"),
+        F.expr("max(CAST(is_purchase AS BIGINT))").alias("has_tx"),
         F.min("tx_revenue").alias("revenue"),
         F.sum("tx_revenue").alias("hit_revenue"),
-        *flags,
-        F.min_by("page_path", F.when(is_page, F.struct("ts", "event_id"))).alias("landing_page"),
-        F.min(F.when(is_page, F.col("ts"))).alias("landing_ts"),
+        *[
+            F.expr(f"max(IF(action_type = '{code}', 1, 0))").alias(name)
+            for name, code in zip(RAW_FLAGS, ACTION_CODES)
+        ],
+        F.expr("min_by(page_path, CASE WHEN type = 'PAGE' THEN struct(ts, event_id) END)").alias("landing_page"),
+        F.expr("min(CASE WHEN type = 'PAGE' THEN ts END)").alias("landing_ts"),
     )
-    by_visit = Window.partitionBy("fullVisitorId", "visit_ord")
     rows = (
         _numbered_cells(cells)
         .groupBy("fullVisitorId", "visit_ord", "date")
@@ -161,18 +160,18 @@ def rows_from_events(events: DataFrame, slot_seconds: int = ROW_SLOT_SECONDS) ->
             F.min("first_id").alias("first_id"),
             F.sum("n_hits").alias("n_hits"),
             F.sum("n_pages").alias("n_pages"),
-            F.max("has_tx").cast("bigint").alias("has_tx"),
+            F.max("has_tx").alias("has_tx"),
             F.min("revenue").alias("revenue"),
             F.sum("hit_revenue").alias("hit_revenue"),
             *[F.max(name).alias(name) for name in RAW_FLAGS],
             F.min_by("landing_page", "landing_ts").alias("landing_page"),
         )
-        .withColumn("visitId", F.min("first_id").over(by_visit))
+        .withColumn("visitId", F.min("first_id").over(Window.partitionBy("fullVisitorId", "visit_ord")))
     )
-    return _with_attributes(rows).select(
+    return _with_attributes(rows).selectExpr(
         "fullVisitorId",
         "visitId",
-        F.col("date").cast("string").alias("date"),
+        "CAST(date AS STRING) AS date",
         "visitNumber",
         "channel",
         "source",
@@ -182,9 +181,9 @@ def rows_from_events(events: DataFrame, slot_seconds: int = ROW_SLOT_SECONDS) ->
         "device",
         "country",
         "net_domain",
-        F.col("n_hits").alias("total_hits"),
-        F.nullif("n_pages", F.lit(0)).alias("pageviews"),
-        F.nullif("has_tx", F.lit(0)).alias("transactions"),
+        "n_hits AS total_hits",
+        "nullif(n_pages, 0) AS pageviews",
+        "nullif(has_tx, 0) AS transactions",
         "revenue",
         "new_visits",
         "n_hits",

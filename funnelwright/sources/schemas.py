@@ -18,6 +18,11 @@ RAW_SESSION = (
     f"hits array<struct<{HIT}>>"
 )
 
+# The flat event log of the test tables.
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
 _MONO = "viewed_mono bigint, cart_mono bigint, checkout_mono bigint, purchase_mono bigint"
 _STRICT = "viewed_strict bigint, cart_strict bigint, checkout_strict bigint, purchase_strict bigint"
 _CONFOUND = (
