@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import top_k_per_group
 from ..functions.rules import RAW_FLAGS, STEPS, is_internal, is_unknown_channel, monotone_flags, pct, strict_flags
-from .sessions import rollup_total, with_variants
+from .sessions import rollup_total, variant_counts
 
 VERSIONS = ("mono", "strict")
 
@@ -34,12 +34,8 @@ def funnel_by(P: DataFrame, group_col: str, versions: Sequence[str] = VERSIONS)
 
 def funnel_by_variants(P: DataFrame, group_col: str, variants: dict[str, Column]) -> DataFrame:
     """Funnel per group and sample variant, from one scan."""
-    return (
-        with_variants(P, variants)
-        .groupBy("variant", group_col)
-        .agg(*[c.alias(n) for n, c in funnel_counts().items()])
-        .orderBy("variant", F.desc("sessions"), group_col)
-    )
+    counted = variant_counts(P, variants, [group_col], funnel_counts())
+    return counted.orderBy("variant", F.desc("sessions"), group_col)
 
 
 def funnel_top_groups(P: DataFrame, group_col: str, n: int = 5) -> DataFrame:

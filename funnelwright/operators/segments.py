@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import INTERNAL_NETWORK, MIN_CELL, is_hidden_direct, is_unknown_channel, is_internal, pct
 from .funnel import funnel_counts
 from .metrics import gap, to_long
-from .sessions import min_cell, with_variants
+from .sessions import min_cell, variant_counts, with_variants
 
 
 def sample_variants() -> dict[str, Column]:
@@ -65,12 +65,7 @@ def referral_two_ways(sessions: DataFrame) -> DataFrame:
     """The Referral funnel with internal subdomains and without them; takes all sessions."""
     referral = sessions.where(~is_unknown_channel("channel") & (F.col("channel") == "Referral"))
     variants = {"with_internal": F.lit(True), "without_internal": ~is_internal("source")}
-    return (
-        with_variants(referral, variants)
-        .groupBy("variant")
-        .agg(*[c.alias(n) for n, c in funnel_counts().items()])
-        .orderBy("variant")
-    )
+    return variant_counts(referral, variants, [], funnel_counts()).orderBy("variant")
 
 
 # ---- derived figures -------------------------------------------------------

@@ -207,6 +207,23 @@ def with_variants(df: DataFrame, variants: dict[str, Column], name: str = "varia
     return df.select("*", F.explode(F.array_compact(kept)).alias(name))
 
 
+def variant_counts(
+    df: DataFrame, variants: dict[str, Column], keys: Sequence[str], counts: dict[str, Column], name: str = "variant"
+) -> DataFrame:
+    """Additive counts per variant and key, without multiplying the rows.
+
+    Rows are first counted per set of variants that keep them - at most two to
+    the number of variants sets - and only those counts are repeated.
+    """
+    kept = F.array_compact(F.array(*[F.when(predicate, F.lit(v)) for v, predicate in variants.items()]))
+    per_set = df.withColumn("_kept", kept).groupBy("_kept", *keys).agg(*[c.alias(n) for n, c in counts.items()])
+    return (
+        per_set.select(F.explode("_kept").alias(name), *keys, *counts)
+        .groupBy(name, *keys)
+        .agg(*[F.sum(n).alias(n) for n in counts])
+    )
+
+
 def min_cell(
     df: DataFrame, count_col: str, minimum: int = MIN_CELL, mask: Sequence[str] | None = None
 ) -> DataFrame:

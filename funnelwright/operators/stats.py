@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import MIN_CELL, TOTAL_LABEL, pct, ratio, usd
 from ..functions.special import chi_square_tail
+from .sessions import variant_counts
 
 
 def testable_cells(long: DataFrame, group_col: str, minimum: int = MIN_CELL) -> DataFrame:
@@ -103,43 +104,63 @@ def z_test(
 
 # ---- revenue ---------------------------------------------------------------
 
-def revenue_by(P: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
+def revenue_by(P: DataFrame, group: str, variants: dict[str, Column] | None = None) -> DataFrame:
     """Average order value (purchase sessions with revenue) and revenue per session.
 
-    NULL revenue never becomes 0 in the average.
+    NULL revenue never becomes 0 in the average. With `variants`, one line per
+    sample variant and group.
     """
-    rev = F.col("revenue")
-    bought = F.when(F.col("purchase_raw") == 1, rev)
-    return P.groupBy(*by, group).agg(
-        F.count("*").alias("sessions"),
-        F.count_if(F.col("purchase_raw") == 1).alias("purchase_sessions"),
-        F.count(rev).alias("sessions_with_revenue"),
-        usd(F.sum(rev)).alias("revenue_usd"),
-        (usd(F.sum(bought)) / F.nullif(F.count(bought), F.lit(0))).alias("avg_order_usd"),
-        (usd(F.sum(rev)) / F.count("*")).alias("revenue_per_session_usd"),
+    rev, purchase = F.col("revenue"), F.col("purchase_raw") == 1
+    bought = F.when(purchase, rev)
+    sums = {
+        "sessions": F.count("*"),
+        "purchase_sessions": F.count_if(purchase),
+        "sessions_with_revenue": F.count(rev),
+        "revenue": F.sum(rev),
+        "orders": F.count(bought),
+        "order_revenue": F.sum(bought),
+    }
+    if variants:
+        counted, keys = variant_counts(P, variants, [group], sums), ["variant", group]
+    else:
+        counted, keys = P.groupBy(group).agg(*[c.alias(n) for n, c in sums.items()]), [group]
+    return counted.select(
+        *keys,
+        "sessions",
+        "purchase_sessions",
+        "sessions_with_revenue",
+        usd(F.col("revenue")).alias("revenue_usd"),
+        (usd(F.col("order_revenue")) / F.nullif("orders", F.lit(0))).alias("avg_order_usd"),
+        (usd(F.col("revenue")) / F.col("sessions")).alias("revenue_per_session_usd"),
     )
 
 
-def cv_compare(P: DataFrame, group: str = "channel", by: Sequence[str] = (), factor: float = 2.0) -> DataFrame:
+def cv_compare(
+    P: DataFrame, group: str = "channel", variants: dict[str, Column] | None = None, factor: float = 2.0
+) -> DataFrame:
     """Variation of conversion against variation of order value over the groups.
 
     Population standard deviation over the mean. Confirmed when the first is at
     least `factor` times the second; the factor is a convention.
     """
-    per_group = revenue_by(P, group, by).withColumn(
+    per_group = revenue_by(P, group, variants).withColumn(
         "conversion_pct", pct(F.col("purchase_sessions"), F.col("sessions"))
     )
 
     def cv(c: str) -> Column:
         return F.stddev_pop(c) / F.nullif(F.avg(c), F.lit(0.0))
 
-    aggs = [
-        F.count("*").alias("groups"), cv("conversion_pct").alias("cv_conversion"),
-        cv("avg_order_usd").alias("cv_order_value"),
-    ]
-    return per_group.groupBy(*by).agg(*aggs).withColumns(
-        {
-            "cv_ratio": F.col("cv_conversion") / F.nullif("cv_order_value", F.lit(0.0)),
-            "confirmed": F.col("cv_conversion") >= factor * F.col("cv_order_value"),
-        }
+    return (
+        per_group.groupBy(*(["variant"] if variants else []))
+        .agg(
+            F.count("*").alias("groups"),
+            cv("conversion_pct").alias("cv_conversion"),
+            cv("avg_order_usd").alias("cv_order_value"),
+        )
+        .withColumns(
+            {
+                "cv_ratio": F.col("cv_conversion") / F.nullif("cv_order_value", F.lit(0.0)),
+                "confirmed": F.col("cv_conversion") >= factor * F.col("cv_order_value"),
+            }
+        )
     )

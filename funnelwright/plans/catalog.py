@@ -273,8 +273,8 @@ def _varied(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _variant_long(spark: SparkSession, folder: str) -> DataFrame:
-    counts = [c.alias(n) for n, c in fu.funnel_counts().items()]
-    return me.to_long(_varied(spark, folder).groupBy("variant", "channel").agg(*counts), "channel", by=["variant"])
+    funnel = fu.funnel_by_variants(population(spark, folder), "channel", sg.sensitivity_variants())
+    return me.to_long(funnel, "channel", by=["variant"])
 
 
 def _hidden_pair(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,7 +334,7 @@ STATISTICS: dict[str, Query] = {
         _on(_variant_long, st.cramers_v, "channel", by=["variant"]), 9, "cramers_v"
     ),
     "s17b_sensitivity_cv": _rounded(
-        _on(_varied, st.cv_compare, by=["variant"]), 9, "cv_conversion", "cv_order_value", "cv_ratio"
+        lambda s, d: st.cv_compare(population(s, d), variants=sg.sensitivity_variants()), 9, "cv_conversion", "cv_order_value", "cv_ratio"
     ),
     "s17c_sensitivity_shift": lambda s, d: vi.attribution_shift(
         vi.visitor_profiles(_varied(s, d), ["variant"]), ["variant"]

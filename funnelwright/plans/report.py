@@ -17,6 +17,7 @@ from ..operators import funnel as fu
 from ..operators import quality as qu
 from ..operators import segments as sg
 from ..operators import sessions as se
+from ..sources.schemas import RESULTS
 from ..sources.tables import shared_dir, write_result
 
 # Digits of the published ratios, by result and column.
@@ -101,5 +102,6 @@ def write_report(spark: SparkSession, rows: DataFrame, hits: DataFrame, folder:
     sessions = _stored(se.behavioural_sessions(rows), "sessions")
     made = results(rows, hits, sessions)
     for name, build in made.items():
-        write_result(build(), f"{folder}/{name}", DIGITS.get(name))
+        published = [column.split(" ")[0] for column in RESULTS[name].split(", ")]
+        write_result(build().select(published), f"{folder}/{name}", DIGITS.get(name))
     return list(made)

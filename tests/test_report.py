@@ -14,7 +14,7 @@ def test_report_from_nested_rows(spark, tmp_path):
     names = write_report(spark, se.row_facts(nested), se.hit_facts(nested), str(tmp_path))
     assert set(names) == set(RESULTS)
     for name in names:
-        assert read_result(spark, str(tmp_path / name), RESULTS[name]).columns
+        read_result(spark, str(tmp_path / name), RESULTS[name]).collect()  # fails where header and schema differ
     assert set(DIGITS) <= set(RESULTS)
     funnel = read_result(spark, str(tmp_path / "12_funnel_by_channel"), RESULTS["12_funnel_by_channel"])
     assert funnel.collect() == catalog.QUERIES["q12_funnel_by_channel"](spark, SMALL).collect()
