@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import exact_percentiles
 from ..functions.rules import flag, pct
+from .sessions import with_variants
 
 
 def visitor_profiles(P: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -202,3 +203,16 @@ def untruncated(visitors: DataFrame) -> DataFrame:
 def multi_session(visitors: DataFrame, minimum: int = 2) -> DataFrame:
     """Visitors with at least two sessions."""
     return visitors.where(F.col("sessions") >= minimum)
+
+
+def with_slices(visitors: DataFrame, percent: int = 90) -> DataFrame:
+    """Each visitor once per slice (`slice`) it belongs to: all, and the three guards above."""
+    slices = {
+        "all": F.lit(True),
+        "observable": F.col("observed") == 1,
+        "untruncated": F.col("first.visit_number") <= 1,
+        "multi_session": F.col("sessions") >= 2,
+    }
+    return with_variants(_with_observed(visitors, percent), slices, "slice").drop(
+        "horizon_days", "window_end", "observed"
+    )

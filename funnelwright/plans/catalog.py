@@ -291,6 +291,9 @@ def _z_tests(spark: SparkSession, folder: str) -> DataFrame:
     return st.z_test(me.to_long(funnel, "device", by=["variant"]), "device", "desktop", "mobile", by=["variant"])
 
 
+varied_shift: Query = lambda s, d: vi.attribution_shift(
+    vi.visitor_profiles(_varied(s, d), ["variant"]), ["variant"]
+)
 shift = _on(visitors, vi.attribution_shift)
 chi = _on(long_channel, st.chi_square, "channel")
 holm_p = ["version", "step", "p_value", "p_holm", "significant"]
@@ -330,14 +333,24 @@ STATISTICS: dict[str, Query] = {
     "s15_left_truncated": _on(visitors, vi.left_truncated),
     "s15b_untruncated_shift": lambda s, d: vi.attribution_shift(vi.untruncated(visitors(s, d))),
     "s16_multi_session_shift": lambda s, d: vi.attribution_shift(vi.multi_session(visitors(s, d))),
+    "s16b_slice_spearman": _rounded(
+        lambda s, d: vi.spearman(
+            vi.attribution_shift(vi.with_slices(visitors(s, d)), ["slice"]), "last_click", "first_touch", ["slice"]
+        ),
+        9, "rho",
+    ),
     "s17_sensitivity_v": _rounded(
         _on(_variant_long, st.cramers_v, "channel", by=["variant"]), 9, "cramers_v"
     ),
     "s17b_sensitivity_cv": _rounded(
         lambda s, d: st.cv_compare(population(s, d), variants=sg.sensitivity_variants()), 9, "cv_conversion", "cv_order_value", "cv_ratio"
     ),
-    "s17c_sensitivity_shift": lambda s, d: vi.attribution_shift(
-        vi.visitor_profiles(_varied(s, d), ["variant"]), ["variant"]
+    "s17c_sensitivity_shift": varied_shift,
+    "s17d_sensitivity_spearman": _rounded(
+        _on(varied_shift, vi.spearman, "last_click", "first_touch", ["variant"]), 9, "rho"
+    ),
+    "s17e_sensitivity_bootstrap": _rounded(
+        _on(_varied, bs.bootstrap_v_diff, "channel", REPS, by=["variant"]), 9, "estimate", "low", "high"
     ),
     "s18_referral_two_ways": _on(sessions, sg.referral_two_ways),
     "s19_testable_cells": lambda s, d: st.testable_cells(long_channel(s, d), "channel").select(

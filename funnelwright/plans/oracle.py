@@ -291,32 +291,50 @@ CHI = [
     "CASE WHEN df >= 1 THEN SQRT(chi2 / n) END AS cramers_v FROM chi)",
 ]
 
-VISITORS = """chan AS (
+def people_of(source: str = "pop", x: str = "") -> str:
+    """Tables `chan` and `person`: purchases per visitor and channel, and the visitor's first session."""
+    return f"""chan{x} AS (
   SELECT "fullVisitorId", channel, COUNT(*) AS n, CAST(SUM(purchase_raw) AS BIGINT) AS purchases
   FROM {source} GROUP BY "fullVisitorId", channel),
-person AS (
+person{x} AS (
   SELECT "fullVisitorId", FIRST(channel ORDER BY visit_number, "visitId") AS first_channel,
     FIRST(visit_number ORDER BY visit_number, "visitId") AS first_visit_number,
     MIN(date) AS first_date, MIN(date) FILTER (WHERE purchase_raw = 1) AS first_purchase,
     COUNT(*) AS sessions, CAST(SUM(purchase_raw) AS BIGINT) AS purchases
   FROM {source} GROUP BY "fullVisitorId")"""
-PEOPLE = VISITORS.format(source="pop")
 
 
-def shift_of(keep: str = "TRUE") -> str:
+PEOPLE = people_of()
+
+
+def shift_of(keep: str = "TRUE", x: str = "", people: str = "") -> str:
     """Table `sh`: both rankings over the visitors that satisfy `keep`."""
-    return f"""kept AS (SELECT * FROM person WHERE {keep}),
-last_c AS (SELECT channel, SUM(chan.purchases) AS k FROM chan JOIN kept USING ("fullVisitorId")
-  GROUP BY channel HAVING SUM(chan.purchases) > 0),
-first_c AS (SELECT first_channel AS channel, SUM(purchases) AS k FROM kept
+    return f"""kept{x} AS (SELECT * FROM person{people} WHERE {keep}),
+last_c{x} AS (SELECT channel, SUM(c.purchases) AS k FROM chan{people} c JOIN kept{x} USING ("fullVisitorId")
+  GROUP BY channel HAVING SUM(c.purchases) > 0),
+first_c{x} AS (SELECT first_channel AS channel, SUM(purchases) AS k FROM kept{x}
   GROUP BY first_channel HAVING SUM(purchases) > 0),
-both_c AS (SELECT channel, {big("COALESCE(last_c.k, 0)")} AS last_click, {big("COALESCE(first_c.k, 0)")} AS first_touch
-  FROM last_c FULL JOIN first_c USING (channel)),
-sh AS (SELECT channel, last_click, first_touch, RANK() OVER (ORDER BY last_click DESC) AS last_click_rank,
+both_c{x} AS (SELECT channel, {big("COALESCE(l.k, 0)")} AS last_click, {big("COALESCE(f.k, 0)")} AS first_touch
+  FROM last_c{x} l FULL JOIN first_c{x} f USING (channel)),
+sh{x} AS (SELECT channel, last_click, first_touch, RANK() OVER (ORDER BY last_click DESC) AS last_click_rank,
   RANK() OVER (ORDER BY first_touch DESC) AS first_touch_rank,
-  RANK() OVER (ORDER BY last_click DESC) - RANK() OVER (ORDER BY first_touch DESC) AS shift FROM both_c)"""
+  RANK() OVER (ORDER BY last_click DESC) - RANK() OVER (ORDER BY first_touch DESC) AS shift FROM both_c{x})"""
+
+
+def stacked(names: list[str], key: str = "variant") -> str:
+    """Table `shifts`: the numbered `sh` tables under their names."""
+    parts = [f"SELECT '{name}' AS {key}, * FROM sh{i}" for i, name in enumerate(names)]
+    return "shifts AS (" + " UNION ALL ".join(parts) + ")"
 
 
+SENSITIVE = {"all": "TRUE", "no_hidden_referral": "NOT hidden", "no_internal_network": "net_domain <> 'google.com'"}
+SENSITIVE_SHIFTS = [
+    *[
+        f"pop{i} AS (SELECT * FROM pop WHERE {keep}), {people_of(f'pop{i}', str(i))}, {shift_of('TRUE', str(i), str(i))}"
+        for i, keep in enumerate(SENSITIVE.values())
+    ],
+    stacked(list(SENSITIVE)),
+]
 DAYS = """days AS (SELECT DATE_DIFF('day', CAST(first_date AS DATE), CAST(first_purchase AS DATE)) AS d
   FROM person WHERE first_purchase IS NOT NULL),
 days_n AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS rn, COUNT(*) OVER () AS n FROM days),
@@ -722,11 +740,21 @@ WHERE purchase_raw = 1 GROUP BY first_channel"""),
   {pct("COUNT(*) FILTER (WHERE first_visit_number > 1)", "COUNT(*)")} AS pct_truncated FROM person"""),
     "s15b_untruncated_shift": cte(PEOPLE, shift_of("first_visit_number <= 1"), "SELECT * FROM sh"),
     "s16_multi_session_shift": cte(PEOPLE, shift_of("sessions >= 2"), "SELECT * FROM sh"),
+    "s16b_slice_spearman": cte(PEOPLE, DAYS,
+        *[shift_of(keep, str(i)) for i, keep in enumerate(("TRUE", SEEN, "first_visit_number <= 1", "sessions >= 2"))],
+        stacked(["all", "observable", "untruncated", "multi_session"], "slice"), spearman_of("shifts", "slice"),
+        "SELECT slice, n, ROUND(rho, 9) AS rho FROM rho"),
     "s17_sensitivity_v": cte(SENSITIVITY, f"f AS (SELECT variant, channel, {COUNTS} FROM sp GROUP BY variant, channel)",
         long_of("channel", keys="variant, "), TESTED, chi_of("cells", "variant, version, step, step_no", "prev_n", "n"),
         """SELECT variant, version, step, CASE WHEN df >= 1 THEN ROUND(SQRT(chi2 / n), 9) END AS cramers_v FROM chi"""),
     "s17b_sensitivity_cv": cv("sp", "variant, "),
-    "s17c_sensitivity_shift": "",
+    "s17c_sensitivity_shift": cte(*SENSITIVE_SHIFTS, "SELECT * FROM shifts"),
+    "s17d_sensitivity_spearman": cte(*SENSITIVE_SHIFTS, spearman_of("shifts", "variant"),
+        "SELECT variant, n, ROUND(rho, 9) AS rho FROM rho"),
+    "s17e_sensitivity_bootstrap": cte(SENSITIVITY, reach_draws("sp", "channel", "variant, "),
+        chi_of("rc", "variant, rep, step", "entered", "passed"),
+        V_DIFFS.replace("SELECT rep", "SELECT variant, rep").replace("GROUP BY rep", "GROUP BY variant, rep"),
+        interval("vs", "diff", "variant, ")),
     "s18_referral_two_ways": cte("""rf AS (SELECT *, GREATEST(view_raw, cart_raw, checkout_raw, purchase_raw) AS view_m,
   GREATEST(cart_raw, checkout_raw, purchase_raw) AS cart_m, GREATEST(checkout_raw, purchase_raw) AS checkout_m,
   purchase_raw AS purchase_m, view_raw AS view_s, view_raw * cart_raw AS cart_s,
@@ -736,15 +764,3 @@ UNION ALL SELECT 'without_internal', {COUNTS} FROM rf WHERE source NOT LIKE '%.g
     "s19_testable_cells": cte(CHANNEL_FUNNEL, long_of("channel"), """SELECT version, channel, step, prev_n,
   prev_n >= 100 AS tested FROM l WHERE channel <> 'ALL'"""),
 }
-
-_SHIFTS = []
-for _i, _keep in enumerate(("TRUE", "NOT hidden", "net_domain <> 'google.com'")):
-    _variant = ("all", "no_hidden_referral", "no_internal_network")[_i]
-    _tables = f"pop{_i} AS (SELECT * FROM pop WHERE {_keep}), " + VISITORS.format(source=f"pop{_i}") + ", " + shift_of()
-    for _name in ("chan", "person", "kept", "last_c", "first_c", "both_c", "sh"):
-        _tables = _tables.replace(f"{_name} AS (", f"{_name}{_i} AS (").replace(f"FROM {_name}", f"FROM {_name}{_i}")
-        _tables = _tables.replace(f"JOIN {_name}", f"JOIN {_name}{_i}").replace(f"{_name}.", f"{_name}{_i}.")
-    _SHIFTS.append((_tables, f"SELECT '{_variant}' AS variant, * FROM sh{_i}"))
-ORACLES["s17c_sensitivity_shift"] = cte(
-    *[t for t, _ in _SHIFTS], "\nUNION ALL ".join(f for _, f in _SHIFTS)
-)
