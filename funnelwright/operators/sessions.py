@@ -67,7 +67,8 @@ def with_landing_page(nested: DataFrame) -> DataFrame:
 def row_facts(nested: DataFrame) -> DataFrame:
     """Flat facts of each nested row: attributes, totals, step flags.
 
-    Narrow for a plain session table. Where long hit arrays are stored in
+    Narrow for a plain session table, and every field is reached by plain
+    access, so that a query reads only the leaves it needs. Where long hit arrays are stored in
     pieces (column `piece`), the pieces of a row are merged by its key with
     partial aggregation.
     """
@@ -92,7 +93,7 @@ def row_facts(nested: DataFrame) -> DataFrame:
         F.col("totals.transactions").alias("transactions"),
         F.col("totals.transactionRevenue").alias("revenue"),
         F.col("totals.newVisits").alias("new_visits"),
-        F.array_size("hits").cast("bigint").alias("n_hits"),
+        F.array_size("hits.hitNumber").cast("bigint").alias("n_hits"),
         *RAW_FLAGS,
         hit_revenue.alias("hit_revenue"),
         _first_page().alias("landing"),
@@ -113,17 +114,35 @@ def row_facts(nested: DataFrame) -> DataFrame:
     )
 
 
-def hit_facts(nested: DataFrame) -> DataFrame:
-    """One record per hit. Rows with no hits drop out."""
-    return nested.select(*ROW_KEY, F.explode("hits").alias("h")).select(
-        *ROW_KEY,
-        F.col("h.hitNumber").alias("hitNumber"),
-        F.col("h.type").alias("type"),
-        F.col("h.page.pagePath").alias("page_path"),
-        F.col("h.eCommerceAction.action_type").alias("action_type"),
-        F.col("h.transaction.transactionId").alias("tx_id"),
-        F.col("h.transaction.transactionRevenue").alias("tx_revenue"),
-    )
+HIT_LEAVES = {
+    "hitNumber": "hits.hitNumber",
+    "type": "hits.type",
+    "page_path": "hits.page.pagePath",
+    "action_type": "hits.eCommerceAction.action_type",
+    "tx_id": "hits.transaction.transactionId",
+    "tx_revenue": "hits.transaction.transactionRevenue",
+}
+
+
+def _zipped(columns: Sequence[str]) -> Column:
+    """The wanted leaves of `hits`, side by side; only these are read."""
+    return F.arrays_zip(*[HIT_LEAVES[c] for c in columns])
+
+
+def _unzipped(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    leaf = {c: HIT_LEAVES[c].rsplit(".", 1)[1] for c in columns}
+    return df.select(*ROW_KEY, *[F.col("h")[leaf[c]].alias(c) for c in columns])
+
+
+def hit_facts(nested: DataFrame, columns: Sequence[str] = tuple(HIT_LEAVES)) -> DataFrame:
+    """One record per hit with the wanted hit columns. Rows with no hits drop out."""
+    return _unzipped(nested.select(*ROW_KEY, F.explode(_zipped(columns)).alias("h")), columns)
+
+
+def transaction_hits(nested: DataFrame, columns: Sequence[str] = ("tx_id", "tx_revenue")) -> DataFrame:
+    """The hits that carry a transaction, picked inside the array before it is exploded."""
+    bought = F.filter(_zipped(columns), lambda h: h["transactionId"].isNotNull())
+    return _unzipped(nested.select(*ROW_KEY, F.explode(bought).alias("h")), columns)
 
 
 def session_steps_exploded(hits: DataFrame) -> DataFrame:

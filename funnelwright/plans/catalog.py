@@ -126,7 +126,7 @@ def step_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def steps_exploded(spark: SparkSession, folder: str) -> DataFrame:
-    return se.session_steps_exploded(se.hit_facts(nested(spark, folder)))
+    return se.session_steps_exploded(se.hit_facts(nested(spark, folder), ["action_type"]))
 
 
 def internal_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -94,8 +94,8 @@ def results(rows: DataFrame, hits: DataFrame, sessions: DataFrame) -> dict[str,
 def write_report(spark: SparkSession, rows: DataFrame, hits: DataFrame, folder: str) -> list[str]:
     """Write all named results under `folder`; returns their names.
 
-    `rows` are row facts and `hits` hit facts, from nested session rows or from
-    the event log.
+    `rows` are row facts and `hits` hit facts (those with a transaction are
+    enough), from nested session rows or from the event log.
     """
     rows = _stored(rows, "rows")
     hits = _stored(hits.where("tx_id IS NOT NULL"), "transaction-hits")

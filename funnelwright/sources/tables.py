@@ -73,10 +73,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     The cluster names that folder in `spark.checkpoint.dir`; only where it is
     unset (local tests) a temporary one is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="funnelwright-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    run = spark.sparkContext.applicationId
-    return os.path.join(base, "funnelwright", run, f"{name}-{os.urandom(4).hex()}")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="funnelwright-"))
+        base = context.getCheckpointDir()
+    return os.path.join(base, "funnelwright", context.applicationId, f"{name}-{os.urandom(4).hex()}")

@@ -11,7 +11,7 @@ from funnelwright.sources.tables import read_result
 
 def test_report_from_nested_rows(spark, tmp_path):
     nested = catalog.nested(spark, SMALL)
-    names = write_report(spark, se.row_facts(nested), se.hit_facts(nested), str(tmp_path))
+    names = write_report(spark, se.row_facts(nested), se.transaction_hits(nested, list(se.HIT_LEAVES)), str(tmp_path))
     assert set(names) == set(RESULTS)
     for name in names:
         read_result(spark, str(tmp_path / name), RESULTS[name]).collect()  # fails where header and schema differ

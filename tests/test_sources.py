@@ -3,6 +3,8 @@
 from goldens import BY_CHANNEL, FUNNEL
 from pyspark.sql import functions as F
 
+from funnelwright.operators import funnel as fu
+from funnelwright.operators import quality as qu
 from funnelwright.operators import sessions as se
 from funnelwright.plans import catalog
 from funnelwright.sources import tables
@@ -24,6 +26,47 @@ def test_date_range_is_inclusive_and_prunes(spark, tmp_path):
     assert "ReadSchema: struct<hits:array<struct<eCommerceAction:struct<action_type:string>>>>" in plan
 
 
+def leaves_read(df):
+    """The schema each scan reads."""
+    scans = []
+
+    def walk(plan):
+        if plan.nodeName().startswith("Scan"):
+            scans.append(plan.requiredSchema().simpleString())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return scans
+
+
+def test_queries_read_only_their_leaves(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    tables.write_sessions(catalog.nested(spark, SMALL).drop("piece"), path)
+    stored = tables.read_sessions(spark, path, "2024-01-01", "2024-12-31")
+    P = se.population(se.behavioural_sessions(se.row_facts(stored)))
+    keys, origin = "fullVisitorId:string,visitId:bigint", "channelGrouping:string,trafficSource:struct<source:string>"
+    action = "eCommerceAction:struct<action_type:string>"
+    tx = "transaction:struct<transactionId:string,transactionRevenue:bigint>"
+    assert leaves_read(fu.funnel_by(P, "channel")) == [f"struct<{keys},{origin},hits:array<struct<{action}>>>"]
+    assert leaves_read(fu.monotone_confound(P, "channel")) == [
+        f"struct<{keys},{origin},hits:array<struct<hitNumber:bigint,{action}>>>"
+    ]
+    assert leaves_read(qu.tx_duplicate_examples(se.transaction_hits(stored))) == [
+        f"struct<{keys},hits:array<struct<{tx}>>>"
+    ]
+    assert leaves_read(se.session_steps_exploded(se.hit_facts(stored, ["action_type"]))) == [
+        f"struct<{keys},hits:array<struct<{action}>>>"
+    ]
+    assert leaves_read(qu.unknown_channels(se.row_facts(stored))) == [
+        "struct<channelGrouping:string,trafficSource:struct<source:string,medium:string>>"
+    ]
+    full = se.hit_facts(stored).where("tx_id IS NOT NULL")
+    picked = se.transaction_hits(stored, list(se.HIT_LEAVES))
+    assert picked.exceptAll(full).isEmpty() and full.exceptAll(picked).isEmpty()
+
+
 def test_result_round_trip(spark, tmp_path):
     df = spark.createDataFrame(BY_CHANNEL + [(None, *range(9))], ["channel", *FUNNEL])
     path = str(tmp_path / "r")
@@ -71,3 +114,29 @@ def test_cell_width_does_not_change_the_result(spark):
     hits = hits_from_events(events)
     other = hits_from_events(events, 7_200)
     assert other.exceptAll(hits).isEmpty() and hits.exceptAll(other).isEmpty()
+
+
+class _Context:
+    applicationId = "app"
+    folder = None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class _Session:
+    def __init__(self, setting):
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": setting}, _Context()
+
+
+def test_shared_folder_comes_from_the_session():
+    named = _Session("hdfs://shared/dir")
+    assert tables.shared_dir(named, "x").startswith("hdfs://shared/dir/funnelwright/app/x-")
+    assert named.sparkContext.folder is None
+    unset = _Session(None)
+    first, second = tables.shared_dir(unset, "x"), tables.shared_dir(unset, "x")
+    assert first.startswith(unset.sparkContext.folder) and second.startswith(unset.sparkContext.folder)
+    assert first != second
