@@ -68,14 +68,15 @@ def write_result(df: DataFrame, path: str, digits: dict[str, int] | None = None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder.
+    """A fresh folder under the session's shared folder, for stored intermediates.
 
-    The cluster names that folder in `spark.checkpoint.dir`; only where it is
-    unset (local tests) a temporary one is made.
+    The cluster names that folder in `spark.checkpoint.dir`. Only a local
+    master, whose tasks share one machine, may go without it.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="funnelwright-"))
-        base = context.getCheckpointDir()
-    return os.path.join(base, "funnelwright", context.applicationId, f"{name}-{os.urandom(4).hex()}")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "funnelwright")
+    return "/".join([base.rstrip("/"), "funnelwright", context.applicationId, f"{name}-{os.urandom(4).hex()}"])
