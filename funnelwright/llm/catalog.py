@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+from .quality import judge_hosts, measure
+from .secrets import BASE, find_secrets, listed
+from .sharding import deal
 from .substring import dedup_substrings
 
 
@@ -18,11 +22,49 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    dealt = deal(docs.withColumn("size", size), 8, "size")
+    return dealt.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    measured = stored(measure(documents(spark, folder).select("doc_id", "source", "text")).drop("text"), "measures")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept"]
+    return judge_hosts(measured).select(*names)
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(documents(spark, folder).select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = dedup_substrings(documents(spark, folder).select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
 }
