@@ -3,10 +3,10 @@
 How it runs:
 
 1. Each task hashes every window of its rows from one running sum. A window gets 64 stored bits and, from a second
-   polynomial, a bucket. Per row and bucket the hashes go out as one binary value; of windows that repeat within a slice
+   polynomial, a bucket. The hashes of a slice of rows go out packed, one binary value a bucket; of windows that repeat within a slice
    of the task's rows one goes out, so a passage shared by a third of all documents shrinks before the shuffle.
 2. Each bucket (memory-sized; their number follows the input) finds the hashes it holds more than once and returns, for
-   rows that have any, one byte a window: repeated or not. Rows are known by hashes of their id and text, so nothing
+   rows that have any, one byte a window: repeated or not. These marks travel packed by lane, a hash range of the rows. Rows are known by hashes of their id and text, so nothing
    depends on partitions, batches or retries.
 3. Rows meet their marks in a left join, hash their windows again (same buckets, same order), merge marked windows into
    maximal intervals and drop the covered words.
@@ -33,14 +33,17 @@ from pyspark.sql import functions as F
 from .common import RollingHash, free_name, mix, shuffle_partitions, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 35
-# Windows in a bucket: 16 MB of hashes, a few times that in a task's memory.
-BUCKET_WINDOWS = 1 << 21
-SLICE_BYTES = 1 << 22
+# Windows in a bucket: 32 MB of hashes, a few times that in a task's memory.
+BUCKET_WINDOWS = 1 << 22
+SLICE_BYTES = 1 << 21
 _FIRST, _SECOND = RollingHash(0xD1B54A32D192ED03), RollingHash(0x8CB92BA72F3D8DD7)
 
 SENT, KNOWN = 1, 2
-_OUT = "k1 long, k2 long, bucket int, flags binary, hashes binary"
-_MARKS = "k1 long, k2 long, bucket int, marks binary"
+# Rows travel packed. `keys`: two 64-bit hashes for each text; `counts`: its windows in this bucket; then their flags or
+# marks, one byte each, and the 64-bit hashes of those that are sent.
+_SENT = "bucket int, keys binary, counts binary, flags binary, hashes binary"
+_BACK = "lane int, bucket int, keys binary, counts binary, marks binary"
+_MARKS = "k1 long, k2 long, buckets binary, counts binary, marks binary"
 RESULT = "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>"
 
 
@@ -53,15 +56,27 @@ def _windows(words: np.ndarray, first: np.ndarray, window: int, buckets: int) ->
     return starts, rows[starts], hashes, bucket
 
 
-def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values that lie one after the other in `flat` and end at `ends`."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
+def _pieces(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in `flat` and end at these elements."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * flat.itemsize
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
+def _ends(*values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values end."""
+    change = np.ones(len(values[0]), bool)
+    change[:-1] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    return np.flatnonzero(change) + 1
+
+
+def _all(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a packed column, one after the other."""
+    return np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in column), kind)
+
+
 def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
         for low, high in slices(batch.column(2), SLICE_BYTES):
             data, offsets = utf8(batch.column(2).slice(low, high - low))
             starts, ends, first = word_bounds(data, offsets)
@@ -73,35 +88,29 @@ def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Itera
             flags = np.full(len(rows), SENT, np.uint8)
             flags[order[1:][same]] = KNOWN
             flags[order[:-1][same]] |= KNOWN
-            order = np.argsort(rows * buckets + bucket, kind="stable")
+            order = np.argsort(bucket, kind="stable")
             rows, bucket, flags, hashes = rows[order], bucket[order], flags[order], hashes[order]
-            last = np.flatnonzero(np.concatenate([(rows[1:] != rows[:-1]) | (bucket[1:] != bucket[:-1]), [True]]))
+            texts = _ends(bucket, rows)
+            of_bucket = _ends(bucket[texts - 1])
             sent = flags & SENT > 0
+            whole = texts[of_bucket - 1]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(k1[low + rows[last]]),
-                    pa.array(k2[low + rows[last]]),
-                    pa.array(bucket[last].astype(np.int32)),
-                    _binary(flags, last + 1),
-                    _binary(hashes[sent].view(np.uint8), 8 * np.cumsum(sent)[last]),
+                    pa.array(bucket[whole - 1].astype(np.int32)),
+                    _pieces(keys[low + rows[texts - 1]].ravel(), 2 * of_bucket),
+                    _pieces(np.diff(texts, prepend=0).astype(np.int32), of_bucket),
+                    _pieces(flags, whole),
+                    _pieces(hashes[sent], np.cumsum(sent)[whole - 1]),
                 ],
-                ["k1", "k2", "bucket", "flags", "hashes"],
+                ["bucket", "keys", "counts", "flags", "hashes"],
             )
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column and the offsets of its values."""
-    column = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks])
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _count(bucket: pa.Table) -> pa.Table:
-    """Which windows of one bucket occur more than once; one row for each (row, bucket) that has any."""
-    flags, offsets = _flat(bucket.column("flags"))
-    hashes = _flat(bucket.column("hashes"))[0].view(np.uint64)
+def _count(bucket: pa.Table, lanes: int) -> pa.Table:
+    """Which windows of one bucket occur more than once: texts that have any, packed by where they return to."""
+    keys = _all(bucket.column("keys"), np.int64).reshape(-1, 2)
+    counts, flags = _all(bucket.column("counts"), np.int32), _all(bucket.column("flags"), np.uint8)
+    hashes = _all(bucket.column("hashes"), np.uint64)
     order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
     repeated = np.zeros(len(hashes), bool)
@@ -109,54 +118,78 @@ def _count(bucket: pa.Table) -> pa.Table:
     repeated[order[:-1][same]] = True
     marks = (flags & KNOWN > 0).astype(np.uint8)
     marks[np.flatnonzero(flags & SENT)] |= repeated
-    k1, k2 = (bucket.column(c).to_numpy() for c in ("k1", "k2"))
-    some = np.flatnonzero(np.add.reduceat(marks, offsets[:-1], dtype=np.int64) > 0)
-    some = some[np.lexsort((k2[some], k1[some]))]
-    out: list[bytearray | np.ndarray] = []
-    keys: list[int] = []
-    for i in some:  # equal rows (same id and text) share one entry
-        own = marks[offsets[i] : offsets[i + 1]]
-        if keys and k1[keys[-1]] == k1[i] and k2[keys[-1]] == k2[i]:
-            out[-1] = out[-1] | own
-        else:
-            keys.append(i)
-            out.append(own)
-    number = bucket.column("bucket")[0].as_py()
+    some = np.add.reduceat(marks, np.cumsum(counts) - counts, dtype=np.int64) > 0
+    marks, keys, counts = marks[np.repeat(some, counts)], keys[some], counts[some]
+    lane = (mix(keys[:, 0].view(np.uint64)) % np.uint64(lanes)).astype(np.int64)
+    order = np.argsort(lane, kind="stable")
+    marks = marks[np.argsort(np.repeat(lane, counts), kind="stable")]
+    keys, counts, lane = keys[order], counts[order], lane[order]
+    ends = _ends(lane) if len(lane) else np.zeros(0, np.int64)
+    return pa.table(
+        {
+            "lane": pa.array(lane[ends - 1].astype(np.int32)),
+            "bucket": pa.array(np.full(len(ends), bucket.column("bucket")[0].as_py(), np.int32)),
+            "keys": _pieces(keys.ravel(), 2 * ends),
+            "counts": _pieces(counts, ends),
+            "marks": _pieces(marks, np.cumsum(counts)[ends - 1]),
+        }
+    )
+
+
+def _gather(lane: pa.Table) -> pa.Table:
+    """One row per text: its marks of all buckets, by bucket. Equal rows (same id and text) share their marks."""
+    keys = _all(lane.column("keys"), np.int64).reshape(-1, 2)
+    counts, marks = _all(lane.column("counts"), np.int32), _all(lane.column("marks"), np.uint8)
+    sizes = [len(x.as_buffer()) // 4 for x in lane.column("counts")]
+    bucket = np.repeat(lane.column("bucket").to_numpy(), sizes)
+    order = np.lexsort((bucket, keys[:, 1], keys[:, 0]))
+    starts = (np.cumsum(counts) - counts)[order]
+    keys, counts, bucket = keys[order], counts[order], bucket[order]
+    marks = marks[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(marks))]
+    last = _ends(keys[:, 0], keys[:, 1], bucket)
+    if len(last) < len(keys):
+        first = np.concatenate([[0], last[:-1]])
+        at = np.cumsum(counts) - counts
+        into = np.concatenate([np.tile(np.arange(at[a], at[a] + counts[a]), b - a) for a, b in zip(first, last, strict=True)])
+        np.maximum.at(marks, into, marks.copy())
+        marks = marks[np.repeat(np.isin(np.arange(len(keys)), first), counts)]
+        keys, counts, bucket = keys[first], counts[first], bucket[first]
+    ends = _ends(keys[:, 0], keys[:, 1])
     return pa.table(
         {
-            "k1": pa.array(k1[keys]),
-            "k2": pa.array(k2[keys]),
-            "bucket": pa.array(np.full(len(keys), number, np.int32)),
-            "marks": pa.array([x.tobytes() for x in out], pa.binary()),
+            "k1": pa.array(keys[ends - 1, 0]),
+            "k2": pa.array(keys[ends - 1, 1]),
+            "buckets": _pieces(bucket.astype(np.int32), ends),
+            "counts": _pieces(counts, ends),
+            "marks": _pieces(marks, np.cumsum(counts)[ends - 1]),
         }
     )
 
 
-def _cut(words: np.ndarray, window: int, buckets: int, marks: list[dict]) -> np.ndarray:
+def _cut(words: np.ndarray, window: int, buckets: int, own: np.ndarray, counts: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """For each word of one text: is it covered by a marked window?"""
     starts, _, _, bucket = _windows(words, np.array([0, len(words)]), window, buckets)
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], [m["bucket"] for m in marks])
+    at = np.repeat(np.searchsorted(bucket[order], own) - (np.cumsum(counts) - counts), counts) + np.arange(len(marks))
+    hit = starts[order[at[marks > 0]]]
     step = np.zeros(len(words) + 1, np.int64)
-    for m, low in zip(marks, at, strict=True):
-        own = np.frombuffer(m["marks"], np.uint8)
-        hit = starts[order[low : low + len(own)][own > 0]]
-        step[hit] += 1
-        step[hit + window] -= 1
+    step[hit] += 1
+    np.subtract.at(step, hit + window, 1)
     return np.cumsum(step[:-1]) > 0
 
 
-def _apply(columns: Iterator[tuple[pa.Array, pa.Array]], window: int, buckets: int) -> Iterator[pa.Array]:
-    for texts, marks in columns:
+def _apply(columns: Iterator[tuple[pa.Array, ...]], window: int, buckets: int) -> Iterator[pa.Array]:
+    for texts, own, counts, marks in columns:
         n_words, n_removed, kept, removed = [], [], [], []
-        for text, own in zip(texts, marks, strict=True):
+        for text, *packed in zip(texts, own, counts, marks, strict=True):
             words = (text.as_py() or "").encode().split()
             gone: list[dict] = []
             n = len(words)
-            if own.is_valid and n:
+            if packed[0].is_valid and n:
                 data, offsets = utf8(pa.array([text.as_py()]))
                 starts, ends, _ = word_bounds(data, offsets)
-                cut = _cut(word_hashes(data, starts, ends), window, buckets, own.as_py())
+                packed = [np.frombuffer(x.as_buffer(), kind) for x, kind in zip(packed, (np.int32, np.int32, np.uint8), strict=True)]
+                cut = _cut(word_hashes(data, starts, ends), window, buckets, *packed)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
                 gone = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
                 words = list(itertools.compress(words, (~cut).tolist()))
@@ -186,21 +219,26 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = max(1 + total // 6 // BUCKET_WINDOWS, shuffle_partitions(df.sparkSession))
     keys = [F.xxhash64(F.col(id_column)), F.xxhash64(F.col(text_column))]
     sent = df.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        partial(_send, window=window, buckets=buckets), _OUT
+        partial(_send, window=window, buckets=buckets), _SENT
     )
-    marks = sent.groupBy("bucket").applyInArrow(_count, _MARKS)
-    k1, k2, own = (free_name(df, c) for c in ("k1", "k2", "marks"))
-    marks = marks.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias(own))
+
+    def count(bucket: pa.Table) -> pa.Table:
+        return _count(bucket, buckets)
+
+    back = sent.groupBy("bucket").applyInArrow(count, _BACK)
+    marks = back.groupBy("lane").applyInArrow(_gather, _MARKS)
+    k1, k2, *packed = (free_name(df, c.split(" ")[0]) for c in _MARKS.split(", "))
+    marks = marks.toDF(k1, k2, *packed)
     apply = F.arrow_udf(_iterator(window, buckets), RESULT)
-    found, names = free_name(df, "found"), [c.split(" ")[0] for c in RESULT.replace(", ", ",").split(",")[:4]]
+    found = free_name(df, "found")
     joined = df.withColumns({k1: keys[0], k2: keys[1]}).join(marks, [k1, k2], "left")
-    joined = joined.withColumn(found, apply(F.col(text_column).cast("string"), F.col(own)))
-    fields = {free_name(df, n): F.col(found)[n] for n in names}
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for n, v in fields.items()])
+    joined = joined.withColumn(found, apply(F.col(text_column).cast("string"), *packed))
+    added = [F.col(found)[n].alias(free_name(df, n)) for n in ("n_words", "n_removed", "kept_text", "removed")]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *added)
 
 
 def _iterator(window: int, buckets: int) -> Callable:
-    def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def cut(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         return _apply(columns, window, buckets)
 
     return cut
