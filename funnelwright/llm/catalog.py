@@ -11,6 +11,7 @@ from .common import stored
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
 from .sharding import deal
+from .simhash import near_duplicates
 from .substring import dedup_substrings
 
 
@@ -62,9 +63,14 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
