@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
+from . import embeddings
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
 from .sharding import deal
@@ -67,10 +68,15 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
 }

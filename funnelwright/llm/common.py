@@ -110,3 +110,21 @@ _WORDS = RollingHash(0x9E3779B97F4A7C15)
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of words given by byte bounds."""
     return mix(_WORDS(_LETTERS[data], starts, ends) + (ends - starts).astype(np.uint64))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by `key`; a group that spans batches is held until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key)
+        cut = int(np.searchsorted(column.to_numpy(), column[-1].as_py()))
+        if held and held[0].column(key)[0].as_py() == column[-1].as_py():
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -20,7 +20,6 @@ leading underscore where the input already has their name.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, stored, utf8, word_bounds
+from .common import slices, stored, utf8, whole_groups, word_bounds
 from .graph import components, spanning
 
 SHINGLE = 4
@@ -123,29 +122,11 @@ def linked_pairs(prints: np.ndarray, group: np.ndarray, side: np.ndarray, bits:
 
 
 def _link(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by group; a group that spans batches is held until it is whole."""
-    held: list[np.ndarray] = []
-
-    def whole(rows: np.ndarray) -> pa.RecordBatch:
-        prints = rows[1].view(np.uint64)
-        a, b = linked_pairs(prints, rows[0], rows[2], bits)
-        low, high = spanning(rows[1][a], rows[1][b])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(i).to_numpy() for i in range(3)])
-        held.append(rows)
-        if rows[0, 0] == rows[0, -1] and len(held) < 64:
-            continue
-        rows = np.concatenate(held, axis=1)
-        cut = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1 if rows[0, 0] != rows[0, -1] else 0
-        held = [rows[:, cut:]]
-        if cut:
-            yield whole(rows[:, :cut])
-    if held:
-        yield whole(np.concatenate(held, axis=1))
+    for groups in whole_groups(batches, "key"):
+        key, prints, side = (groups.column(c).to_numpy() for c in ("key", "fp", "side"))
+        a, b = linked_pairs(prints.view(np.uint64), key, side, bits)
+        low, high = spanning(prints[a], prints[b])
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
@@ -176,7 +157,8 @@ def near_duplicates(
     """One row per row of df: its id, fingerprint (16 hex digits) and component_id, the smallest id it reaches."""
     if not 0 <= bits < 32 or shingle < 1:
         raise ValueError("0 to 31 bits and shingles of one word at least")
-    rows = stored(with_fingerprints(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "text", "fp", shingle).select("id", "fp"), "fingerprints")
+    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = stored(with_fingerprints(rows, "text", "fp", shingle).select("id", "fp"), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     reached = stored(components(links(prints, bits)), "print-components")
     named = prints.join(reached, prints["fp"] == reached["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
