@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
-from . import embeddings
+from . import embeddings, langid, urls
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
 from .sharding import deal
@@ -45,6 +45,18 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_hosts(measured).select(*names)
 
 
+def fold(id_column: str = "doc_id") -> Column:
+    return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(5))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    # Fold 0 is held out, fold 1 calibrates the rejection, the others are counted.
+    detector = langid.fit(docs, fold() > 1, fold() == 1)
+    found = langid.detect(docs.select("doc_id", "text"), detector)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(documents(spark, folder).select("doc_id", "text"))
 
@@ -72,11 +84,18 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = urls.judge(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
