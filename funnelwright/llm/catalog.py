@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 from . import embeddings, langid, urls
+from .packing import pack_documents
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
 from .sharding import deal
@@ -57,6 +59,10 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = find_secrets(documents(spark, folder).select("doc_id", "text"))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
