@@ -43,7 +43,7 @@ def scatter(df: DataFrame, size_column: str, seed: int = SEED, bucket_bytes: int
         "shard-census",
     )
     total = census.agg(F.sum("size"), F.sum("n")).first()
-    buckets = max(1, math.ceil((total[0] or 0) / bucket_bytes), shuffle_partitions(spark) if (total[1] or 0) > 100_000 else 1)
+    buckets = max(1, math.ceil((total[0] or 0) / bucket_bytes), shuffle_partitions(spark))
     heavy = stored(
         census.where((F.col("n") > 1) & ((F.col("size") > bucket_bytes // 16) | (F.col("n") * 16 * buckets > (total[1] or 0)))).select("r1", "r2"),
         "shard-heavy",
