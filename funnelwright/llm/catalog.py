@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
-from . import embeddings, langid, urls
+from . import embeddings, langid, pieces, urls
 from .packing import pack_documents
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
@@ -26,6 +26,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(documents(spark, folder).select("doc_id", "text"), model)
+    whole = F.coalesce(pieces.decoded(F.col("ids"), model) == F.col("text"), F.col("text").isNull())
+    return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), whole.alias("lossless"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -96,6 +103,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
