@@ -26,7 +26,7 @@ from . import charlm
 from .common import free_name
 
 UNKNOWN = "und"
-QUANTILE, SLACK, LEAST = 0.999, 1.15, 200
+QUANTILE, SLACK, LEAST = 0.999, 1.15, 20
 LANGUAGES = 256
 _RESULT = "lang_pred string, score double, cross_entropy double, chars long"
 
