@@ -20,14 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, stored
+from .common import bounded_batches, mix, slices, stored
 
 ORDER = 5
 SYMBOL_BITS = 12
 SYMBOLS = 1 << SYMBOL_BITS
 ENTRIES = 1 << 21
 # Distinct grams a task holds before it sends what it has counted.
-HELD = 1 << 20
+HELD = 1 << 19
+# Scored at a time: a few arrays of eight bytes a character and class.
+_SCORED_BYTES = 1 << 18
 BLANK = 1
 _COUNTS = "class string, gram long, c long"
 
@@ -96,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBa
 
 def count_grams(df: DataFrame, kind: str) -> DataFrame:
     """(class, gram, c) over all rows of df (class: string, text: string; neither null), stored."""
-    counted = df.select("class", "text").mapInArrow(partial(_count, kind=kind), _COUNTS)
+    counted = bounded_batches(df).select("class", "text").mapInArrow(partial(_count, kind=kind), _COUNTS)
     return stored(counted.groupBy("class", "gram").agg(F.sum("c").alias("c")), "grams")
 
 
@@ -203,7 +205,7 @@ class Model:
 def totals(model: Model, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log-probabilities of each text under each class, and the texts' lengths in characters."""
     sums, sizes = [np.zeros((0, len(model.classes)))], [np.zeros(0, np.int64)]
-    for low, high in slices(texts):
+    for low, high in slices(texts, _SCORED_BYTES):
         found, lengths = grams(texts.slice(low, high - low), kind)
         scores = np.zeros((len(found) + 1, len(model.classes)))
         np.cumsum(model.score(found), axis=0, dtype=np.float64, out=scores[1:])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded: ten thousand long texts at once would fill a Python worker."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(re.sub(r"\D", "", conf.get(name, "0")) or 0)
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, or a variant that clashes with no column of df (names compare without case, as in Spark)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import free_name
+from .common import bounded_batches, free_name
 
 UNKNOWN = "und"
 QUANTILE, SLACK, LEAST = 0.999, 1.15, 20
@@ -61,7 +61,7 @@ def _scored(df: DataFrame, model: charlm.Model, text_column: str, name: str) ->
         for texts in columns:
             yield _predict(shared.value, texts)
 
-    return df.withColumn(name, predict(F.col(text_column).cast("string")))
+    return bounded_batches(df).withColumn(name, predict(F.col(text_column).cast("string")))
 
 
 def _band(chars: Column) -> Column:

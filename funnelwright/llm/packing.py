@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .tokens import word_tokenizer
 
 LENGTH = 4096
@@ -65,7 +65,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids:
 
 def pieces(df: DataFrame, id_column: str, text_column: str, tokenizer: str, size: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document; with_ids adds the ids, 4 bytes each."""
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    rows = bounded_batches(df).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, {_PIECE}" + (", ids binary" if with_ids else "")
     return rows.mapInArrow(partial(_cut, tokenizer=tokenizer, size=size, with_ids=with_ids), schema)

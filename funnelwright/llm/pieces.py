@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix
+from .common import bounded_batches, free_name, mix
 
 SEED = 20240607
 RATE = 0.1
@@ -231,7 +231,7 @@ def encode(
             missing = pa.array([x is None for x in lists])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=missing)
 
-    return df.withColumn(free_name(df, "ids"), pieces_of(F.col(text_column).cast("string"), F.xxhash64(F.col(key_column))))
+    return bounded_batches(df).withColumn(free_name(df, "ids"), pieces_of(F.col(text_column).cast("string"), F.xxhash64(F.col(key_column))))
 
 
 def decoded(ids: Column, model: str) -> Column:

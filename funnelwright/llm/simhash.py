@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8, whole_groups, word_bounds
+from .common import bounded_batches, slices, stored, utf8, whole_groups, word_bounds
 from .graph import components, spanning
 
 SHINGLE = 4
@@ -73,7 +73,7 @@ def with_fingerprints(df: DataFrame, text_column: str, name: str, shingle: int =
         parts = [fingerprints(texts.slice(low, high - low), shingle) for low, high in slices(texts)]
         return pa.array(np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64))
 
-    return df.withColumn(name, fingerprint(F.col(text_column).cast("string")))
+    return bounded_batches(df).withColumn(name, fingerprint(F.col(text_column).cast("string")))
 
 
 def block_masks(rows: int, bits: int) -> list[int]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, free_name, mix, shuffle_partitions, slices, utf8, word_bounds, word_hashes
+from .common import bounded_batches, RollingHash, free_name, mix, shuffle_partitions, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 35
 # Windows in a bucket: 32 MB of hashes, a few times that in a task's memory.
@@ -215,7 +215,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     """
     if window < 1:
         raise ValueError("a window holds one word at least")
-    total = df.agg(F.sum(F.octet_length(F.col(text_column)))).first()[0] or 0
+    total = bounded_batches(df).agg(F.sum(F.octet_length(F.col(text_column)))).first()[0] or 0
     buckets = max(1 + total // 6 // BUCKET_WINDOWS, shuffle_partitions(df.sparkSession))
     keys = [F.xxhash64(F.col(id_column)), F.xxhash64(F.col(text_column))]
     sent = df.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_column).cast("string").alias("text")).mapInArrow(
