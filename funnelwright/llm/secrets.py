@@ -46,34 +46,35 @@ _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 _CHUNK = 256
 
 
-def running_totals(numbers: Column) -> Column:
-    """Sum of the elements up to and including each one. Chunked, so that long arrays stay far from quadratic."""
-
-    def totals(part: Column, start: Column) -> Column:
-        return F.aggregate(
-            part,
-            F.struct(start.alias("sum"), F.array().cast("array<int>").alias("all")),
-            lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"] + x)).alias("all")),
-            lambda a: a["all"],
-        )
-
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _CHUNK).cast("int")), lambda c: F.slice(numbers, c * _CHUNK + 1, _CHUNK))
-    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    before = F.concat(F.array(F.lit(0)), totals(sums, F.lit(0)))
-    return F.flatten(F.transform(chunks, lambda c, i: totals(c, F.get(before, i))))
-
+def _totals(part: Column, start: Column) -> Column:
+    """Sum of the elements up to and including each one, from `start` on."""
+    return F.aggregate(
+        part,
+        F.struct(start.alias("sum"), F.array().cast("array<int>").alias("all")),
+        lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"] + x)).alias("all")),
+        lambda a: a["all"],
+    )
 
-def _spans(text: Column, kind: str) -> tuple[Column, Callable[[Column], Column]]:
-    """Matches of a kind, and their spans given that column and what lies between (evaluated for texts with matches only)."""
-    pattern = {**BASE, **WEAK}[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def located(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        gaps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0)))
-        return running_totals(gaps)
+def _starts(df: DataFrame, text: str, pattern: str, matches: str) -> DataFrame:
+    """df with the match column replaced by (matches, starts): running totals of the lengths of matches and gaps.
 
-    return matches, located
+    The totals are taken in chunks, so that very many matches stay far from quadratic. Each step is a column of its own:
+    an expression that is used twice would be computed twice.
+    """
+    gaps, chunks, before = (free_name(df, f"{matches}_{x}") for x in ("gaps", "chunks", "before"))
+    found, g, c = F.col(matches), F.col(gaps), F.col(chunks)
+    between = free_name(df, f"{matches}_between")
+    out = df.withColumn(between, F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)))
+    out = out.withColumn(
+        gaps, F.transform(F.slice(between, 1, F.size(between) - 1), lambda x, i: F.length(x) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0)))
+    )
+    out = out.withColumn(
+        chunks, F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / _CHUNK).cast("int")), lambda k: F.slice(g, k * _CHUNK + 1, _CHUNK))
+    )
+    sums = F.transform(c, lambda k: F.aggregate(k, F.lit(0), lambda a, x: a + x))
+    out = out.withColumn(before, F.concat(F.array(F.lit(0)), _totals(sums, F.lit(0))))
+    return out.withColumn(f"{matches}_starts", F.flatten(F.transform(c, lambda k, i: _totals(k, F.get(F.col(before), i))))).drop(between, gaps, chunks, before)
 
 
 def _span_of(kind: str, starts: Column, groups: Column | None) -> Callable[[Column, Column], Column]:
@@ -96,25 +97,17 @@ def find_spans(df: DataFrame, text_column: str = "text", kinds: list[str] = KIND
     """df plus one column per kind: an array of (start, rank, end, kind), in order."""
     text = free_name(df, "text_")
     out = df.withColumn(text, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    names, at, values = {}, {}, {}
-    for kind in kinds:
-        names[kind], at[kind], values[kind] = free_name(df, f"{kind}_matches"), free_name(df, f"{kind}_starts"), free_name(df, f"{kind}_values")
-    tools = {kind: _spans(F.col(text), kind) for kind in kinds}
-    out = out.withColumns({names[k]: tools[k][0] for k in kinds})
-    out = out.withColumns({at[k]: F.when(F.size(names[k]) > 0, tools[k][1](F.col(names[k]))) for k in kinds})
-    if "assign" in kinds:
-        out = out.withColumn(
-            values["assign"], F.when(F.size(names["assign"]) > 0, F.regexp_extract_all(F.col(text), F.lit(BASE["assign"]), F.lit(2)))
-        )
     spans = {}
     for kind in kinds:
-        found, starts = F.col(names[kind]), F.col(at[kind])
-        groups = F.col(values[kind]) if kind == "assign" else None
-        span = _span_of(kind, starts, groups)
-        checked = F.filter(F.transform(found, span), lambda x: x["right"])
-        spans[free_name(df, kind)] = F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(
-            F.transform(checked, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))).cast(_SPANS)
-        )
+        pattern, matches, groups = {**BASE, **WEAK}[kind], free_name(df, f"{kind}_matches"), None
+        out = out.withColumn(matches, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+        out = _starts(out, text, pattern, matches)
+        if kind == "assign":
+            groups = F.col(free_name(df, "assign_values"))
+            out = out.withColumn(free_name(df, "assign_values"), F.when(F.size(matches) > 0, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2))))
+        found = F.transform(F.col(matches), _span_of(kind, F.col(f"{matches}_starts"), groups))
+        found = F.transform(F.filter(found, lambda x: x["right"]), lambda x: F.struct(*[x[n].alias(n) for n in ("start", "rank", "end", "kind")]))
+        spans[free_name(df, kind)] = F.when(F.size(matches) == 0, F.array().cast(_SPANS)).otherwise(found.cast(_SPANS))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(k) for k, v in spans.items()])
 
 
@@ -152,8 +145,8 @@ def find_secrets(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     k1, k2 = free_name(df, "k1"), free_name(df, "k2")
     keys = {k1: F.xxhash64(F.col(id_column), F.lit(1), F.col(text_column)), k2: F.xxhash64(F.col(text_column), F.lit(2), F.col(id_column))}
     narrow = df.select(F.col(text_column).cast("string").alias("text"), keys[k1].alias("k1"), keys[k2].alias("k2"))
-    # Whatever can be linked has a weak part and a secret or a key: one cheap test keeps most texts out.
-    maybe = narrow.where(F.col("text").rlike("|".join(f"(?:{p})" for p in WEAK.values())))
+    # Whatever can be linked is or has a weak part: cheap tests keep most texts out.
+    maybe = narrow.where(F.contains("text", F.lit("://")) | F.col("text").rlike(WEAK["identifier"]) | F.col("text").rlike(WEAK["key"]))
     found = find_spans(maybe).withColumn("parts", F.concat(*[F.col(k) for k in KINDS]))
     several = F.size(F.array_distinct(F.transform("parts", lambda x: x["kind"]))) > 1
     parts = found.where(several).select("k1", "k2", F.inline("parts")).distinct()
