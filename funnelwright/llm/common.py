@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 # Texts are worked on in slices of about this many bytes; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,10 +29,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are bounded: ten thousand long texts at once would fill a Python worker."""
     conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
-        now = int(re.sub(r"\D", "", conf.get(name, "0")) or 0)
-        if not 0 < now <= most:
-            conf.set(name, str(most))
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 
