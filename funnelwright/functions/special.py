@@ -28,16 +28,18 @@ def _log_gamma_half(df: Column) -> Column:
     return F.aggregate(factors, start, lambda total, i: total + F.log(first + i - 1))
 
 
-def chi_square_tail(chi2: Column, df: Column, depth: int = 300) -> Column:
+def chi_square_tail(chi2: Column, df: Column) -> Column:
     """P(X >= chi2) for a chi-square variable with a whole number of degrees of freedom.
 
     Regularised upper incomplete gamma: power series below the mean, continued
-    fraction above it.
+    fraction above it. Both need most terms where chi2 is near df: a multiple
+    of the root of df.
     """
     s, x = df / F.lit(2.0), chi2 / F.lit(2.0)
+    depth = (F.lit(300) + F.ceil(20 * F.sqrt(s))).cast("int")
     scale = F.exp(s * F.log(x) - x - _log_gamma_half(df))
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(depth)),
+        F.sequence(F.lit(1), depth),
         F.struct((F.lit(1.0) / s).alias("term"), (F.lit(1.0) / s).alias("total")),
         lambda acc, k: F.struct(
             (acc["term"] * x / (s + k)).alias("term"), (acc["total"] + acc["term"] * x / (s + k)).alias("total")
@@ -45,8 +47,8 @@ def chi_square_tail(chi2: Column, df: Column, depth: int = 300) -> Column:
         lambda acc: acc["total"],
     )
     fraction = F.aggregate(
-        F.sequence(F.lit(depth), F.lit(1), F.lit(-1)),
-        x + 1 - s + 2.0 * (depth + 1),
+        F.sequence(depth, F.lit(1), F.lit(-1)),
+        x + 1 - s + 2.0 * (depth.cast("double") + 1),
         lambda below, k: x + 1 - s + 2 * k - 2 - (k * (k - s)) / below,
     )
     tail = F.when(x < s + 1, F.lit(1.0) - scale * series).otherwise(scale / fraction)

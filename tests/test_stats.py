@@ -30,6 +30,16 @@ def test_chi_square_tail(spark):
     assert missing.select(chi_square_tail(F.col("x"), F.col("df"))).first()[0] is None
 
 
+@pytest.mark.parametrize("df", [200, 2_000, 20_000, 200_000])
+def test_chi_square_tail_of_many_degrees(spark, df):
+    """For even df the tail is a Poisson sum."""
+    for chi2 in (0.98 * df, float(df), df + 2.0, 1.02 * df):
+        x = chi2 / 2
+        known = math.fsum(math.exp(k * math.log(x) - x - math.lgamma(k + 1)) for k in range(df // 2))
+        row = spark.createDataFrame([(chi2, df)], "x double, df int").select(chi_square_tail(F.col("x"), F.col("df"))).first()
+        assert row[0] == pytest.approx(known, abs=1e-8)
+
+
 def test_holm(spark):
     p = [("f", 1, 0.01), ("f", 2, 0.04), ("f", 3, 0.03), ("f", 4, 0.005), ("g", 1, 0.2), ("g", 2, None)]
     got = {(r.family, r.no): r.p_holm for r in st.holm(
