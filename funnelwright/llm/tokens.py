@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from functools import cache
 
+import numpy as np
+
 # Words held twice over at most: recent ones, and those before them.
 CACHED = 200_000
 
@@ -38,10 +40,14 @@ class WordTokenizer:
             else:
                 self.new[word] = known
         for low in range(0, len(missing), 4096):
-            part = missing[low : low + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found, strict=True):
-                self.new[word] = b"".join(i.to_bytes(4, "little") for i in ids.ids)
+            # Many words are encoded as one text; offsets tell which ids are whose.
+            part = [w.decode() for w in missing[low : low + 4096]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            cuts = (4 * np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in part]))).tolist()
+            for word, first, last in zip(missing[low : low + 4096], cuts, cuts[1:]):
+                self.new[word] = ids[first:last]
         return b"".join(map(self.new.__getitem__, words))
 
 
