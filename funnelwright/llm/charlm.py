@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, slices, stored
+from .common import bounded_batches, mix, releasing, slices, stored
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -71,6 +71,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
 
+@releasing
 def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 

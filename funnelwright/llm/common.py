@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,20 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def releasing(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """`task`, which gives freed memory back when it ends: a Python worker lives on, idle, beside the stages that follow."""
+
+    @functools.wraps(task)
+    def run(*args, **kwargs) -> Iterator:
+        yield from task(*args, **kwargs)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C libraries, glibc holds on to it and offers this
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, or a variant that clashes with no column of df (names compare without case, as in Spark)."""
     taken = {c.lower() for c in df.columns}

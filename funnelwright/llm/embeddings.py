@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, whole_groups
+from .common import releasing, shuffle_partitions, stored, whole_groups
 from .graph import components, spanning
 
 THRESHOLD = 0.95
@@ -59,6 +59,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+@releasing
 def _keys(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[pa.RecordBatch]:
     """Each class once for each pass, with its sort key: 64 hyperplane signs, most significant first."""
     for batch in batches:
@@ -89,6 +90,7 @@ def _near(unit: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray,
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+@releasing
 def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links within one range partition; its first and last rows go out too, for the windows across its edges."""
     part = TaskContext.get().partitionId()
@@ -122,6 +124,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, threshold: float) -
         yield out(tail.column("class").to_numpy(), None, 1, tail.column("vector").combine_chunks())
 
 
+@releasing
 def _across(edges: Iterator[pa.RecordBatch], window: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for groups in whole_groups(edges, "edge"):
         edge = groups.column("edge").to_numpy()
@@ -152,6 +155,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
     return found.where("edge IS NULL").select("a", "b").union(across)
 
 
+@releasing
 def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Linked vectors of each class within one pair of chunks."""
     for groups in whole_groups(batches, "key"):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import releasing, stored
 
 
 def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,6 +41,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+@releasing
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = spanning(batch.column(0).to_numpy(), batch.column(1).to_numpy())

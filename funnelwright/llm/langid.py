@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import charlm
-from .common import bounded_batches, free_name
+from .common import bounded_batches, free_name, releasing
 
 UNKNOWN = "und"
 QUANTILE, SLACK, LEAST = 0.999, 1.15, 20
@@ -53,13 +53,18 @@ def _predict(model: charlm.Model, texts: pa.Array) -> pa.Array:
     )
 
 
+@releasing
+def _predictions(model: charlm.Model, columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in columns:
+        yield _predict(model, texts)
+
+
 def _scored(df: DataFrame, model: charlm.Model, text_column: str, name: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by charlm.ENTRIES
 
     @F.arrow_udf(_RESULT)
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in columns:
-            yield _predict(shared.value, texts)
+        return _predictions(shared.value, columns)
 
     return bounded_batches(df).withColumn(name, predict(F.col(text_column).cast("string")))
 

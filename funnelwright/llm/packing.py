@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, releasing, stored
 from .tokens import word_tokenizer
 
 LENGTH = 4096
@@ -39,6 +39,7 @@ _PIECE = "piece int, start long, length long, ids_crc32 long"
 _STATE = "instance long, island int, uids binary, lengths binary, packings binary, bins int, fill double, solved boolean"
 
 
+@releasing
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = word_tokenizer(tokenizer).encode
     closing = CLOSING.to_bytes(4, "little")
@@ -180,6 +181,7 @@ def _settle(items: pa.Table, size: int, islands: int, population: int) -> pa.Tab
     return _table(rows)
 
 
+@releasing
 def _epoch(batches: Iterator[pa.RecordBatch], size: int, generations: int, epoch: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -194,6 +196,7 @@ def _epoch(batches: Iterator[pa.RecordBatch], size: int, generations: int, epoch
         yield from _table(rows).to_batches()
 
 
+@releasing
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():

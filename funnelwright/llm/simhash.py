@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, stored, utf8, whole_groups, word_bounds
+from .common import bounded_batches, releasing, slices, stored, utf8, whole_groups, word_bounds
 from .graph import components, spanning
 
 SHINGLE = 4
@@ -121,6 +121,7 @@ def linked_pairs(prints: np.ndarray, group: np.ndarray, side: np.ndarray, bits:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+@releasing
 def _link(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for groups in whole_groups(batches, "key"):
         key, prints, side = (groups.column(c).to_numpy() for c in ("key", "fp", "side"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, RollingHash, free_name, mix, shuffle_partitions, slices, utf8, word_bounds, word_hashes
+from .common import RollingHash, bounded_batches, free_name, mix, releasing, shuffle_partitions, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 35
 # Windows in a bucket: 32 MB of hashes, a few times that in a task's memory.
@@ -74,6 +74,7 @@ def _all(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(memoryview(x.as_buffer()) for x in column), kind)
 
 
+@releasing
 def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
@@ -178,6 +179,7 @@ def _cut(words: np.ndarray, window: int, buckets: int, own: np.ndarray, counts:
     return np.cumsum(step[:-1]) > 0
 
 
+@releasing
 def _apply(columns: Iterator[tuple[pa.Array, ...]], window: int, buckets: int) -> Iterator[pa.Array]:
     for texts, own, counts, marks in columns:
         n_words, n_removed, kept, removed = [], [], [], []
