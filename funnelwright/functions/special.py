@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 # Distribution function of a unit Poisson draw, up to the resolution of `uniform`.
 UNIT_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
-# Above this rate a Poisson draw uses the corrected normal form.
-EXACT_RATE = 64
-
 
 def _log_gamma_half(df: Column) -> Column:
     """ln Gamma(df / 2) for a whole number df >= 1."""
@@ -61,30 +58,38 @@ def uniform(key: Column, part: int = 0) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson(rate: Column, u: Column, u2: Column) -> Column:
-    """A Poisson draw with the given whole rate from two uniforms.
+def _log_factorial(k: Column) -> Column:
+    """ln k! for a whole number k: Stirling's series from 16 on, the product below."""
+    z = k + 1.0
+    far = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return F.when(k < 16, F.log(F.factorial(k.cast("int")).cast("double"))).otherwise(far)
+
+
+def poisson(rate: Column, u: Column) -> Column:
+    """A Poisson draw with the given whole rate: the inverse of the distribution function at the uniform `u`.
 
-    Up to `EXACT_RATE` the distribution function is inverted exactly; above, a
-    normal draw with the skewness correction of the quantile expansion is
-    rounded. The common rate 1 compares with fixed bounds. The sum of `rate` independent unit draws has this distribution.
+    One method for every rate. The terms further than ten standard deviations
+    below the rate are far under the resolution of `uniform` and are passed
+    over, so the work grows with the root of the rate. The common rate 1
+    compares with fixed bounds, which give the same draws. The sum of `rate`
+    independent unit draws has this distribution.
     """
     rate = rate.cast("double")
     unit = F.when(u < UNIT_CDF[0], F.lit(0))
     for k, below in enumerate(UNIT_CDF[1:], start=1):
         unit = unit.when(u < below, F.lit(k))
     unit = unit.otherwise(F.lit(len(UNIT_CDF))).cast("bigint")
-    last = F.ceil(rate + 10 * F.sqrt(rate) + 15).cast("int")
-    step = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).cast("bigint").alias("k"))
-    exact = F.aggregate(
-        F.sequence(F.lit(1), last),
-        step,
+    low = F.greatest(F.floor(rate - 10 * F.sqrt(rate)), F.lit(0).cast("bigint"))
+    last = F.ceil(rate + 10 * F.sqrt(rate) + 15).cast("bigint")
+    least = F.when(low == 0, F.exp(-rate)).otherwise(F.exp(low * F.log(rate) - rate - _log_factorial(low)))
+    inverse = F.aggregate(
+        F.sequence(low + 1, last),
+        F.struct(least.alias("p"), least.alias("cdf"), low.alias("k")),
         lambda acc, i: F.struct(
             (acc["p"] * rate / i).alias("p"),
             (acc["cdf"] + acc["p"] * rate / i).alias("cdf"),
-            F.when(acc["cdf"] <= u, i.cast("bigint")).otherwise(acc["k"]).alias("k"),
+            F.when(acc["cdf"] <= u, i).otherwise(acc["k"]).alias("k"),
         ),
         lambda acc: acc["k"],
     )
-    z = F.sqrt(-2.0 * F.log(F.lit(1.0) - u)) * F.cos(2.0 * math.pi * u2)
-    wide = F.floor(rate + F.sqrt(rate) * z + (z * z - 1) / 6 + 0.5)
-    return F.when(rate == 1, unit).when(rate <= EXACT_RATE, exact).otherwise(F.greatest(wide, F.lit(0).cast("bigint")))
+    return F.when(rate == 1, unit).otherwise(inverse)

@@ -48,11 +48,11 @@ def _replicated(patterns: DataFrame, reps: int, seed: int) -> DataFrame:
     """
     tasks = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("pattern"))
-    drawn = poisson(F.col("m"), F.col("u"), F.col("u2"))
+    drawn = poisson(F.col("m"), F.col("u"))
     return (
         patterns.repartition(tasks, "pattern")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
-        .withColumns({"u": uniform(key), "u2": uniform(key, 1)})
+        .withColumn("u", uniform(key))
         .withColumn("w", F.when(F.col("rep") == 0, F.col("m")).otherwise(drawn))
     )
 

@@ -67,10 +67,11 @@ def with_landing_page(nested: DataFrame) -> DataFrame:
 def row_facts(nested: DataFrame) -> DataFrame:
     """Flat facts of each nested row: attributes, totals, step flags.
 
-    Narrow for a plain session table, and every field is reached by plain
-    access, so that a query reads only the leaves it needs. Where long hit arrays are stored in
-    pieces (column `piece`), the pieces of a row are merged by its key with
-    partial aggregation.
+    Narrow for whole rows (`piece` NULL or absent), repeated keys included, and
+    every field is reached by plain access, so that a query reads only the
+    leaves it needs. The pieces of a row whose hits are stored in several are
+    merged by its key with partial aggregation. Each of the two readings skips
+    the row groups of the other by their null counts.
     """
     hit_revenue = F.aggregate(
         F.col("hits.transaction.transactionRevenue"),
@@ -101,17 +102,19 @@ def row_facts(nested: DataFrame) -> DataFrame:
     )
     if "piece" not in nested.columns:
         return flat.withColumn("landing_page", F.col("landing.pagePath")).drop("landing")
+    whole = flat.where("piece IS NULL").withColumn("landing_page", F.col("landing.pagePath")).drop("landing", "piece")
     merged = {
         **{name: F.max(name) for name in RAW_FLAGS},
         "n_hits": F.sum("n_hits"),
         "hit_revenue": F.sum("hit_revenue"),
     }
     same_on_every_piece = [c for c in flat.columns if c not in (*ROW_KEY, *merged, "piece", "landing")]
-    return flat.groupBy(*ROW_KEY).agg(
+    joined = flat.where("piece IS NOT NULL").groupBy(*ROW_KEY).agg(
         *[F.min_by(c, "piece").alias(c) for c in same_on_every_piece],
         *[agg.alias(c) for c, agg in merged.items()],
         F.min("landing").pagePath.alias("landing_page"),
     )
+    return whole.unionByName(joined)
 
 
 HIT_LEAVES = {

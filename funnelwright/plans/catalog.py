@@ -35,8 +35,8 @@ from ..sources.tables import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 DEVICES = ("desktop", "mobile", "tablet")
-# Replicates of the registered bootstrap queries; the operators default to 1,000.
-REPS = 200
+# Replicates of the registered bootstrap queries.
+REPS = 1000
 FIRST_DAY, LAST_DAY = "2024-01-08", "2024-01-21"
 
 
@@ -88,7 +88,7 @@ def _rounded(query: Query, digits: int, *names: str) -> Query:
 def stored_sessions_by_day(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_dir(spark, "sessions")
     write_sessions(nested(spark, folder), path)
-    stored = se.row_facts(read_sessions(spark, path, FIRST_DAY, LAST_DAY).withColumn("piece", F.lit(0)))
+    stored = se.row_facts(read_sessions(spark, path, FIRST_DAY, LAST_DAY))
     return stored.groupBy("date").agg(
         F.count("*").alias("rows_of_day"),
         F.sum("n_hits").alias("hits_of_day"),

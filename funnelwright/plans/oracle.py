@@ -7,11 +7,12 @@ Figures that end in a sum of floats are rounded as in the catalog.
 
 from __future__ import annotations
 
-REPS = 200
+REPS = 1000
 
 BASE = """
 WITH gaps AS (
-  SELECT *, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts FROM events
+  SELECT *, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
 ),
 visits AS (
   SELECT *, CAST(SUM(CASE WHEN prev_ts IS NULL OR ts > prev_ts + INTERVAL '12' HOUR THEN 1 ELSE 0 END)
@@ -360,19 +361,14 @@ rho AS (SELECT {lead}COUNT(*) AS n, CASE WHEN STDDEV_POP(ra) > 0 AND STDDEV_POP(
 # Draws: the same hash and the same inversion as a table of distribution functions.
 DRAWS = f"""reps AS (SELECT UNNEST(RANGE(0, {REPS + 1})) AS rep),
 keyed AS (SELECT pat.*, rep, MD5('1|' || CAST(rep AS VARCHAR) || '|' || MD5(pattern)) AS h FROM pat, reps),
-drawn0 AS (SELECT *, CAST(('0x' || SUBSTR(h, 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS u,
-  CAST(('0x' || SUBSTR(h, 9, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS u2 FROM keyed),
-rates AS (SELECT DISTINCT m FROM pat WHERE m <= 64),
+drawn0 AS (SELECT *, CAST(('0x' || SUBSTR(h, 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE AS u FROM keyed),
+rates AS (SELECT DISTINCT m, CAST(GREATEST(0, FLOOR(m - 12 * SQRT(m))) AS BIGINT) AS low FROM pat),
 pmf AS (SELECT m, k, EXP(k * LN(m) - m - LGAMMA(k + 1)) AS p
-  FROM rates, LATERAL (SELECT UNNEST(RANGE(0, CAST(CEIL(m + 10 * SQRT(m) + 15) AS BIGINT))) AS k)),
+  FROM rates, LATERAL (SELECT UNNEST(RANGE(low, CAST(CEIL(m + 10 * SQRT(m) + 15) AS BIGINT))) AS k)),
 cdf AS (SELECT m, k, SUM(p) OVER (PARTITION BY m ORDER BY k) AS c FROM pmf),
-cdfs AS (SELECT m, LIST(c ORDER BY k) AS cs FROM cdf GROUP BY m),
-normal AS (SELECT d.*, SQRT(-2 * LN(1 - u)) * COS(2 * PI() * u2) AS z FROM drawn0 d),
-drawn AS (SELECT d.* EXCLUDE (u, u2, h, z),
-  CASE WHEN rep = 0 THEN d.m
-    WHEN d.m <= 64 THEN LEN(LIST_FILTER(cs, lambda c: c <= u))
-    ELSE GREATEST(0, CAST(FLOOR(d.m + SQRT(d.m) * z + (z * z - 1) / 6 + 0.5) AS BIGINT)) END AS w
-  FROM normal d LEFT JOIN cdfs USING (m))"""
+cdfs AS (SELECT m, MIN(k) AS low, LIST(c ORDER BY k) AS cs FROM cdf GROUP BY m),
+drawn AS (SELECT d.* EXCLUDE (u, h), CASE WHEN rep = 0 THEN d.m ELSE low + LEN(LIST_FILTER(cs, lambda c: c <= u)) END AS w
+  FROM drawn0 d JOIN cdfs USING (m))"""
 
 
 def reach_draws(source: str, group: str, keys: str = "") -> str:

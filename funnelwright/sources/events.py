@@ -73,8 +73,11 @@ def _by_type(values: dict[str, str], name: str) -> Column:
 
 
 def _stamped(events: DataFrame, slot_seconds: int) -> DataFrame:
-    """Events with their cell and their hit fields; only the needed columns."""
-    return events.select(
+    """Events with their cell and their hit fields; only the needed columns.
+
+    An event without a visitor or a time belongs to no visit, on any path.
+    """
+    return events.where("user_id IS NOT NULL AND ts IS NOT NULL").select(
         F.expr("CAST(user_id AS STRING)").alias("fullVisitorId"),
         F.expr("CAST(ts AS DATE)").alias("date"),
         F.expr(f"(hour(ts) * 3600 + minute(ts) * 60 + second(ts)) DIV {slot_seconds}").alias("slot"),

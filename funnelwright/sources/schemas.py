@@ -8,6 +8,7 @@ HIT = (
     "transaction: struct<transactionId: string, transactionRevenue: bigint>"
 )
 
+# `piece` numbers the parts of a row whose hits are stored in several; NULL (or no such column) is a whole row.
 RAW_SESSION = (
     "fullVisitorId string, visitId bigint, date string, visitNumber bigint, channelGrouping string, "
     "trafficSource struct<source: string, medium: string, isTrueDirect: boolean, referralPath: string>, "
@@ -15,7 +16,7 @@ RAW_SESSION = (
     "geoNetwork struct<country: string, networkDomain: string>, "
     "totals struct<hits: bigint, pageviews: bigint, transactions: bigint, "
     "transactionRevenue: bigint, newVisits: bigint>, "
-    f"hits array<struct<{HIT}>>"
+    f"hits array<struct<{HIT}>>, piece int"
 )
 
 # The flat event log of the test tables.

@@ -16,10 +16,12 @@ def write_sessions(nested: DataFrame, path: str) -> None:
     """Store nested session rows, one folder per day.
 
     Range partitioning by the whole row key gives each task a stretch of days
-    (few files per folder) and still splits a busy day or a busy visitor.
+    (few files per folder) and still splits a busy day or a busy visitor; the
+    pieces of one long row may lie in several files.
     """
+    keys = ["date", "fullVisitorId", "visitId", *(["piece"] if "piece" in nested.columns else [])]
     (
-        nested.repartitionByRange("date", "fullVisitorId", "visitId")
+        nested.repartitionByRange(*keys)
         .write.mode("overwrite")
         .partitionBy("date")
         .parquet(path)

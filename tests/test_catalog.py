@@ -9,8 +9,9 @@ from funnelwright.plans.oracle import ORACLES
 
 
 def test_every_query_has_an_oracle():
+    """The corpus queries beside them may have none: not all can be said in SQL."""
     assert set(QUERIES) == set(ORACLES)
-    assert entry_point.queries().keys() == entry_point.oracle_sql().keys()
+    assert set(QUERIES) <= entry_point.oracle_sql().keys() <= entry_point.queries().keys()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -1,5 +1,6 @@
 """Readers, writers, adapter."""
 
+import pytest
 from goldens import BY_CHANNEL, FUNNEL
 from pyspark.sql import functions as F
 
@@ -118,25 +119,76 @@ def test_cell_width_does_not_change_the_result(spark):
 
 class _Context:
     applicationId = "app"
-    folder = None
 
-    def getCheckpointDir(self):
-        return self.folder
+    def __init__(self, master):
+        self.master = master
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+    def getCheckpointDir(self):
+        return None
 
 
 class _Session:
-    def __init__(self, setting):
-        self.conf, self.sparkContext = {"spark.checkpoint.dir": setting}, _Context()
+    def __init__(self, setting, master="local[2]"):
+        self.conf, self.sparkContext = {"spark.checkpoint.dir": setting}, _Context(master)
 
 
 def test_shared_folder_comes_from_the_session():
-    named = _Session("hdfs://shared/dir")
-    assert tables.shared_dir(named, "x").startswith("hdfs://shared/dir/funnelwright/app/x-")
-    assert named.sparkContext.folder is None
+    for master in ("local[2]", "spark://host:7077"):
+        named = _Session("hdfs://shared/dir", master)
+        assert tables.shared_dir(named, "x").startswith("hdfs://shared/dir/funnelwright/app/x-")
     unset = _Session(None)
-    first, second = tables.shared_dir(unset, "x"), tables.shared_dir(unset, "x")
-    assert first.startswith(unset.sparkContext.folder) and second.startswith(unset.sparkContext.folder)
-    assert first != second
+    assert tables.shared_dir(unset, "x") != tables.shared_dir(unset, "x")
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_without_a_shared_folder_is_refused(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(_Session(None, master), "x")
+
+
+def _same(a, b):
+    b = b.select(a.columns)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@pytest.fixture
+def long_visit(spark):
+    """One visit of 900 hits over midnight, with purchases, and a short visit of another visitor."""
+    kinds = F.array(*[F.lit(k) for k in ("view", "click", "signup", "purchase")])
+    second = F.lit(1704150000) + F.col("id") * 10  # from 23:00 on
+    return spark.range(903).select(
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(second).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") < 900, 7).otherwise(8).cast("bigint").alias("user_id"),
+        F.get(kinds, F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")).alias("event_type"),
+        F.lit(1.17).alias("value"),
+        F.lit("{}").alias("props"),
+    )
+
+
+def test_a_long_visit_survives_the_stored_table(spark, tmp_path, long_visit):
+    path = str(tmp_path / "sessions")
+    tables.write_sessions(nested_from_events(long_visit), path)
+    stored = tables.read_sessions(spark, path, "2024-01-01", "2024-01-31")
+    assert stored.count() > se.row_facts(stored).count() == 3
+    _same(se.row_facts(stored), rows_from_events(long_visit))
+    _same(se.hit_facts(stored), hits_from_events(long_visit))
+
+
+def test_whole_rows_with_equal_keys_stay_apart(spark, tmp_path, long_visit):
+    nested = nested_from_events(long_visit, 10_000).drop("piece")
+    path = str(tmp_path / "sessions")
+    tables.write_sessions(nested.union(nested), path)
+    assert se.row_facts(tables.read_sessions(spark, path, "2024-01-01", "2024-01-31")).count() == 6
+
+
+def test_events_without_visitor_or_time_belong_to_no_visit(spark):
+    events = catalog.events(spark, SMALL)
+    holed = events.withColumns({
+        "user_id": F.when(F.col("event_id") % 10 != 0, F.col("user_id")),
+        "ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")),
+    })
+    whole = events.where("event_id % 10 != 0 AND event_id % 7 != 0")
+    _same(rows_from_events(holed), rows_from_events(whole))
+    _same(hits_from_events(holed), hits_from_events(whole))
+    assert rows_from_events(holed).agg(F.sum("n_hits")).first()[0] == hits_from_events(holed).count() == whole.count()

@@ -51,7 +51,7 @@ def test_holm(spark):
 @pytest.mark.parametrize("rate", [1, 2, 17, 64, 65, 4000, 3_000_000])
 def test_poisson_moments(spark, rate):
     key = F.concat_ws("|", F.lit("x"), F.col("id").cast("string"))
-    draws = spark.range(20_000).select(poisson(F.lit(rate), uniform(key), uniform(key, 1)).alias("w"))
+    draws = spark.range(20_000).select(poisson(F.lit(rate), uniform(key)).alias("w"))
     r = draws.agg(F.avg("w"), F.var_pop("w"), F.min("w")).first()
     assert abs(r[0] - rate) < 5 * math.sqrt(rate / 20_000)
     assert abs(r[1] / rate - 1) < 0.06
@@ -60,14 +60,22 @@ def test_poisson_moments(spark, rate):
 
 def test_poisson_unit_draws_have_the_exact_distribution(spark):
     u = spark.range(1000).select(((F.col("id") + 0.5) / 1000).alias("u"))
-    for rate in (1, 5):
-        got = u.select("u", poisson(F.lit(rate), F.col("u"), F.lit(0.5)).alias("w")).collect()
+    for rate in (1, 5, 64, 65):
+        got = u.select("u", poisson(F.lit(rate), F.col("u")).alias("w")).collect()
         for r in got:
             below = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(r.w))
             upto = below + math.exp(-rate) * rate**r.w / math.factorial(r.w)
             assert below <= r.u < upto
 
 
+@pytest.mark.parametrize("rate", [65, 1000, 100_000])
+def test_poisson_draws_invert_the_distribution_function(spark, rate):
+    u = spark.createDataFrame([(x,) for x in (1e-9, 0.001, 0.25, 0.5, 0.9, 0.999, 1 - 2.0**-32)], "u double")
+    for r in u.select("u", poisson(F.lit(rate), F.col("u")).alias("w")).collect():
+        p = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(max(0, r.w - 40 * math.isqrt(rate)), r.w + 1)]
+        assert math.fsum(p[:-1]) <= r.u + 1e-9 and r.u < math.fsum(p) + 1e-9
+
+
 @pytest.fixture(scope="module")
 def population(spark):
     """1,500 visitors, two sessions each, with entry and purchase rates that differ by channel."""
