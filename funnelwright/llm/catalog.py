@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
-from . import embeddings, langid, pieces, urls
+from . import divergence, embeddings, langid, pieces, urls
+from .licenses import find_licenses
 from .packing import pack_documents
 from .quality import judge_hosts, measure
 from .secrets import BASE, find_secrets, listed
 from .sharding import deal
 from .simhash import near_duplicates
 from .substring import dedup_substrings
+from .whitening import whiten
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -102,6 +104,33 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_licenses(documents(spark, folder).select("doc_id", "text"))
+    starts, by_phrase, by_template = F.col("places.start"), F.col("places.label"), F.col("matches.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(by_phrase)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(by_phrase, by_template)), ",").alias("labels"),
+        F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whiten(table(spark, folder, "embeddings"))
+    by_component = F.posexplode(F.arrays_zip("whitened", F.slice("explained", 1, F.size("whitened")).alias("explained")))
+    rows = white.select("vec_id", "n", "deviation", "identity_error", by_component.alias("place", "one"))
+    component = (F.col("place") + 1).cast("int").alias("component")
+    return rows.select("vec_id", component, "n", "deviation", "one.whitened", "one.explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
@@ -113,4 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_license_scan": op11_license_scan,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }

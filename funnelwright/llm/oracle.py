@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, THRESHOLD, template_rows
 from .quality import HOST_RATE, LINES_PERCENT, MIN_WORDS, REPEATED_PERCENT, RULES, STRONGEST, SYMBOLS_PERCENT, Z
 from .secrets import ASSIGN_CHARS, BASE, KINDS, SCOPE, WEAK
 
@@ -106,6 +107,47 @@ FROM measured JOIN verdicts ON source IS NOT DISTINCT FROM host
 """
 
 
+def _licenses() -> str:
+    """Every block against every template, without any filter."""
+    templates = ", ".join(
+        f"({r['template']}, '{r['label']}', {r['step']}, {r['needed']}, {r['words']})" for r in template_rows(TEMPLATES, THRESHOLD)
+    )
+    places = " UNION ALL ".join(
+        f"SELECT r, i, '{label}' AS label FROM tokens WHERE "
+        + " AND ".join(f"words[i + {j + 1}] = '{word}'" for j, word in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+tokens AS (SELECT r, words, unnest(range(len(words))) AS i FROM docs),
+places AS ({places}),
+base AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS found FROM places GROUP BY r
+),
+templates(template, label, step, needed, held) AS (VALUES {templates}),
+blocks AS (
+  SELECT r, step, list_distinct(list_slice(words, b * step + 1, (b + 2) * step)) AS held
+  FROM (SELECT r, words, step, unnest(range(greatest(1, CAST(ceil(len(words) / step) AS BIGINT) - 1))) AS b
+        FROM docs, (SELECT DISTINCT step FROM templates))
+),
+matches AS (
+  SELECT r, label, len(list_intersect(t.held, b.held)) / len(t.held) AS containment
+  FROM blocks b JOIN templates t USING (step) WHERE len(list_intersect(t.held, b.held)) >= needed
+),
+found AS (SELECT r, list(DISTINCT label) AS found, max(containment) AS score FROM matches GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.found), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.found, []), coalesce(f.found, [])))), ','), '') AS labels,
+       coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN base b USING (r) LEFT JOIN found f USING (r)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_quality_rules": _hosts(),
     "op6_secret_scan": _secrets(),
@@ -127,5 +169,43 @@ kept AS (
   FROM docs LEFT JOIN removed USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+""",
+    "op11_license_scan": _licenses(),
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+),
+found AS (SELECT r, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM found GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)
+),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+),
+over AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over)
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }

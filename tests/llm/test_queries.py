@@ -16,11 +16,11 @@ def test_equals_sql(spark, corpus, name):  # noqa: F811
 
 
 def test_native_queries_run_no_python(spark):
-    for name in ("op2_sharding", "op3_quality_rules", "op6_secret_scan"):
+    for name in ("op2_sharding", "op3_quality_rules", "op6_secret_scan", "op11_license_scan"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), name
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
