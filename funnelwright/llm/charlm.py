@@ -219,6 +219,8 @@ def totals(model: Model, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.nda
 def fit(df: DataFrame, kind: str, smoothing: str, classes: list[str], entries: int = ENTRIES) -> Model:
     """Model of the rows of df (class, text). At most `entries` grams and as many contexts come to the driver."""
     model = Model(classes)
+    if not classes:
+        return model  # nothing to learn from: every text scores alike
     index = {c: i for i, c in enumerate(classes)}
     bound = entries // (ORDER * max(1, len(classes)))
     for counts in _levels(count_grams(df, kind), smoothing):

@@ -153,7 +153,10 @@ def joint_tables(cells: DataFrame, terms: int = TERMS, groups: int = GROUPS) ->
     def product(block: pa.Table) -> pa.Table:
         return _joint(block, groups)
 
-    products = dealt.groupBy("lang", "tier", "block", "left", "right").applyInArrow(
+    # Dealt by all five: a partitioning left over from the join with the tiers would satisfy the grouping, and would put all
+    # blocks of a language's tier in one task.
+    keys = ["lang", "tier", "block", "left", "right"]
+    products = dealt.repartition(*keys).groupBy(*keys).applyInArrow(
         product, "lang string, g int, h int, level_g long, level_h long, terms long"
     )
     return products.groupBy("lang", "g", "h", "level_g", "level_h").agg(F.sum("terms").alias("terms"))

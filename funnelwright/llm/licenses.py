@@ -31,7 +31,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import bound, free_name
 
 THRESHOLD = 0.8
 LEAST_STEP = 16
@@ -107,11 +107,6 @@ def template_rows(templates: Mapping[str, Sequence[str]], threshold: float) -> l
     return rows
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with value computed once: an array that is a lambda's variable is not built anew for each element."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def words_of(text: Column) -> Column:
     folded = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     return F.array_remove(F.split(folded, SEPARATORS), "")
@@ -159,9 +154,9 @@ def match_templates(keyed: DataFrame, templates: Mapping[str, Sequence[str]] = T
             return F.transform(numbers, lambda b: F.struct(F.lit(step).alias("step"), (b * step).alias("start"), F.slice(w, b * step + 1, 2 * step).alias("words")))
 
         places = F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(*rare), i)))
-        return _bound(places, at)
+        return bound(places, at)
 
-    cut = keyed.select("k1", "k2", F.explode(_bound(words_of(F.col("text")), blocks)).alias("block"))
+    cut = keyed.select("k1", "k2", F.explode(bound(words_of(F.col("text")), blocks)).alias("block"))
     # In the global order, since an intersection keeps the order of its first array.
     cut = cut.select("k1", "k2", "block.step", "block.start", F.array_intersect(_literal(order), "block.words").alias("held"))
     probe = cut.select("*", F.size("held").alias("n"), F.posexplode("held").alias("q", "word")).where(F.col("word").isin(*rare))
@@ -208,7 +203,7 @@ def find_licenses(
     k1, k2, base = (free_name(df, c) for c in ("k1", "k2", "base"))
     joined, matches = free_name(df, "matched"), free_name(df, "matches")
     n_words, places = free_name(df, "n_words"), free_name(df, "places")
-    scan = _bound(words_of(F.col(f"`{text_column}`")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _places(w, phrases).alias("places")))
+    scan = bound(words_of(F.col(f"`{text_column}`")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _places(w, phrases).alias("places")))
     out = df.withColumns({k1: keys["k1"], k2: keys["k2"], base: scan})
     out = out.join(matched.toDF(k1, k2, joined), [k1, k2], "left")
     empty = F.array().cast(matched.schema["matches"].dataType)

@@ -16,10 +16,12 @@ Added columns take a leading underscore where the input already has their name.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, free_name
+from .common import BLANKS, bound, free_name
 
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
@@ -49,56 +51,63 @@ def _covered(sorted_windows: Column) -> Column:
     )
 
 
-def measure(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """df plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) of each text."""
-    text, words, lines, hashes, sorted_windows = (free_name(df, c) for c in ("text_", "words", "lines", "hashes", "windows"))
-    out = df.withColumn(text, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    trimmed = F.btrim(F.col(text), F.lit(_TRIM))
-    out = out.withColumns(
-        {
-            words: F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS)),
-            lines: F.filter(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(_TRIM)) != ""),
+def _measures(text: Column) -> Column:
+    """All measures of a text as one struct. Each array is bound once, so no filter on a measure builds it for each element."""
+    trimmed = F.btrim(text, F.lit(_TRIM))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(_TRIM)) != "")
+
+    def with_words(w: Column) -> Column:
+        windows = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return bound(F.slice(windows, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda h: bound(lines, lambda found: of(w, h, found)))
+
+    def of(w: Column, h: Column, found: Column) -> Column:
+        in_order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        values = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")),
+            "n_lines": F.size(found),
+            "n_dup_lines": F.size(found) - F.size(F.array_distinct(found)),
+            "n_repeat_words": F.when(F.size(F.array_distinct(h)) < F.size(h), bound(in_order, _covered)).otherwise(0),
         }
-    )
-    w = F.col(words)
-    out = out.withColumn(
-        hashes,
-        F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0))),
-    )
-    h = F.col(hashes)
-    out = out.withColumn(
-        sorted_windows,
-        F.when(
-            F.size(F.array_distinct(h)) < F.size(h),
-            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
-        ),
-    )
-    values = {
-        "n_words": F.size(w),
-        "word_chars": F.length(F.array_join(w, "")),
-        "n_symbols": F.length(F.regexp_replace(F.col(text), r"[^#*$%&|<>]+", "")),
-        "n_lines": F.size(lines),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": F.when(F.col(sorted_windows).isNull(), F.lit(0)).otherwise(_covered(F.col(sorted_windows))),
-    }
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.cast("long").alias(free_name(df, n)) for n, v in values.items()])
+        return F.struct(*[v.cast("long").alias(n) for n, v in values.items()])
+
+    return bound(words, with_words)
+
+
+def measure(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """df plus n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) of each text.
+
+    `measured_names` says which columns they are where the input has some of these names already.
+    """
+    measures = free_name(df, "measures")
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    out = df.withColumn(measures, _measures(text))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{measures}.{n}").alias(name) for n, name in measured_names(df).items()])
+
+
+def measured_names(df: DataFrame) -> dict[str, str]:
+    """The columns that `measure(df)` adds: measure -> name."""
+    return {n: free_name(df, n) for n in MEASURES}
 
 
-def failures() -> dict[str, Column]:
+def failures(names: Mapping[str, str] | None = None) -> dict[str, Column]:
     """Each rule as a Column over the measures; the first two are the base rules of a document."""
-    n = F.col("n_words")
+    m = {k: F.col(f"`{(names or {}).get(k, k)}`") for k in MEASURES}
+    n = m["n_words"]
     return {
         "short": n < MIN_WORDS,
-        "repeats": 100 * F.col("n_repeat_words") > REPEATED_PERCENT * n,
-        "symbols": 100 * F.col("n_symbols") > SYMBOLS_PERCENT * n,
-        "lines": 100 * F.col("n_dup_lines") > LINES_PERCENT * F.col("n_lines"),
+        "repeats": 100 * m["n_repeat_words"] > REPEATED_PERCENT * n,
+        "symbols": 100 * m["n_symbols"] > SYMBOLS_PERCENT * n,
+        "lines": 100 * m["n_dup_lines"] > LINES_PERCENT * m["n_lines"],
     }
 
 
-def host_rates(measured: DataFrame, host_column: str = "source") -> DataFrame:
+def host_rates(measured: DataFrame, host_column: str = "source", names: Mapping[str, str] | None = None) -> DataFrame:
     """One row per host: host, n and for each rule its failures, shrunken rate and lower bound of that rate."""
-    hosts = measured.groupBy(F.col(host_column).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(v.cast("long")).alias(k) for k, v in failures().items()]
+    hosts = measured.groupBy(F.col(f"`{host_column}`").alias("host")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v.cast("long")).alias(k) for k, v in failures(names).items()]
     )
     n = F.col("n").cast("double")
     sums = [F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n")]
@@ -126,14 +135,14 @@ def beta_prior(hosts: int, rows: float, failed: float, squares: float) -> tuple[
     return mean * strength, strength
 
 
-def judge_hosts(measured: DataFrame, host_column: str = "source") -> DataFrame:
-    """Measured rows plus base_failed, host_failed and kept."""
+def judge_hosts(measured: DataFrame, host_column: str = "source", names: Mapping[str, str] | None = None) -> DataFrame:
+    """Measured rows plus base_failed, host_failed and kept; names: the columns of the measures, if not their own names."""
     bad = F.lit(False)
     for rule in RULES:
         bad = bad | (F.col(f"{rule}_low") > HOST_RATE)
     host, verdict = free_name(measured, "host"), free_name(measured, "host_failed")
-    hosts = host_rates(measured, host_column).select(F.col("host").alias(host), bad.alias(verdict))
-    rule = failures()
+    hosts = host_rates(measured, host_column, names).select(F.col("host").alias(host), bad.alias(verdict))
+    rule = failures(names)
     base = free_name(measured, "base_failed")
     out = measured.join(hosts, measured[host_column].eqNullSafe(hosts[host]), "left").drop(host)
     out = out.withColumn(base, rule["short"] | rule["repeats"])

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import bound, free_name, stored
 
 # Fixed patterns of the strong kinds. Runs shorter than the stated length are dropped after matching: for `access` and
 # `hex` a lower bound in the pattern is the same, as a match always takes the whole run; `assign` is checked by group 2.
@@ -57,23 +57,23 @@ def running_totals(numbers: Column) -> Column:
             lambda a: a["all"],
         )
 
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _CHUNK).cast("int")), lambda c: F.slice(numbers, c * _CHUNK + 1, _CHUNK))
-    sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-    before = F.concat(F.array(F.lit(0)), totals(sums, F.lit(0)))
-    return F.flatten(F.transform(chunks, lambda c, i: totals(c, F.get(before, i))))
+    def summed(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(0)), totals(sums, F.lit(0)))
+        return bound(before, lambda b: F.flatten(F.transform(chunks, lambda c, i: totals(c, F.get(b, i)))))
 
+    numbers_of = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _CHUNK).cast("int"))
+    return bound(F.transform(numbers_of, lambda c: F.slice(numbers, c * _CHUNK + 1, _CHUNK)), summed)
 
-def _spans(text: Column, kind: str) -> tuple[Column, Callable[[Column], Column]]:
-    """Matches of a kind, and their spans given that column and what lies between (evaluated for texts with matches only)."""
-    pattern = {**BASE, **WEAK}[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def located(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
+def _starts(text: Column, kind: str, found: Column) -> Column:
+    """Where each match starts, from the lengths of the matches and of what lies between."""
+
+    def starts(between: Column) -> Column:
         gaps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0)))
-        return running_totals(gaps)
+        return bound(gaps, running_totals)
 
-    return matches, located
+    return bound(F.split(text, {**BASE, **WEAK}[kind], -1), starts)
 
 
 def _span_of(kind: str, starts: Column, groups: Column | None) -> Callable[[Column, Column], Column]:
@@ -96,26 +96,25 @@ def find_spans(df: DataFrame, text_column: str = "text", kinds: list[str] = KIND
     """df plus one column per kind: an array of (start, rank, end, kind), in order."""
     text = free_name(df, "text_")
     out = df.withColumn(text, F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    names, at, values = {}, {}, {}
-    for kind in kinds:
-        names[kind], at[kind], values[kind] = free_name(df, f"{kind}_matches"), free_name(df, f"{kind}_starts"), free_name(df, f"{kind}_values")
-    tools = {kind: _spans(F.col(text), kind) for kind in kinds}
-    out = out.withColumns({names[k]: tools[k][0] for k in kinds})
-    out = out.withColumns({at[k]: F.when(F.size(names[k]) > 0, tools[k][1](F.col(names[k]))) for k in kinds})
-    if "assign" in kinds:
-        out = out.withColumn(
-            values["assign"], F.when(F.size(names["assign"]) > 0, F.regexp_extract_all(F.col(text), F.lit(BASE["assign"]), F.lit(2)))
-        )
-    spans = {}
-    for kind in kinds:
-        found, starts = F.col(names[kind]), F.col(at[kind])
-        groups = F.col(values[kind]) if kind == "assign" else None
-        span = _span_of(kind, starts, groups)
-        checked = F.filter(F.transform(found, span), lambda x: x["right"])
-        spans[free_name(df, kind)] = F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(
-            F.transform(checked, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))).cast(_SPANS)
-        )
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(k) for k, v in spans.items()])
+
+    def spans_of(kind: str) -> Column:
+        """Arrays are bound once each: whatever is pushed down, no element builds them anew."""
+        groups = F.regexp_extract_all(F.col(text), F.lit(BASE["assign"]), F.lit(2)) if kind == "assign" else F.array().cast("array<string>")
+        kept = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
+
+        def located(found: Column) -> Column:
+            def checked(starts: Column, values: Column) -> Column:
+                spans = F.transform(found, _span_of(kind, starts, values if kind == "assign" else None))
+                return F.transform(F.filter(spans, lambda x: x["right"]), kept).cast(_SPANS)
+
+            some = bound(_starts(F.col(text), kind, found), lambda at: bound(groups, lambda values: checked(at, values)))
+            return F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(some)
+
+        return bound(F.regexp_extract_all(F.col(text), F.lit({**BASE, **WEAK}[kind]), F.lit(0)), located)
+
+    out = out.withColumns({f"{text}_{kind}": spans_of(kind) for kind in kinds})
+    names = {kind: free_name(df, kind) for kind in kinds}
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"{text}_{kind}").alias(names[kind]) for kind in kinds])
 
 
 def link(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Sharding, quality rules, secrets and substring dedup: laws, brute force, and defined cases."""
 
 import re
+import time
 import zlib
 from collections import Counter
 
+import pytest
 from corpus_helpers import DOCS, ROWS, edge, empty
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def test_shards_are_shuffled_and_repeat(spark):
 
 def test_a_hot_record_spreads_over_the_buckets(spark):
     df = spark.range(6000).selectExpr("IF(id % 3 = 0, 0, id) AS doc_id", "IF(id % 3 = 0, 'same', CAST(id AS string)) AS text")
-    rows, bucket = sharding.scatter(df.withColumn("own_size", F.lit(10)), "own_size", bucket_bytes=6000)
+    rows, bucket, _ = sharding.scatter(df.withColumn("own_size", F.lit(10)), "own_size", bucket_bytes=6000)
     counts = [r[1] for r in rows.groupBy(bucket).count().collect()]
     assert sum(counts) == 6000 and max(counts) < 4 * min(counts)
 
@@ -92,11 +94,39 @@ def test_prior_shrinks_small_hosts():
 
 def test_quality_on_edge_rows(edge, empty):
     measured = quality.measure(edge)
-    out = quality.judge_hosts(measured.drop("n_words").withColumnRenamed("_n_words", "n_words"))
-    assert out.count() == len(ROWS) and out.where("_kept").count() >= 1
+    # The input has a column n_words of its own, which is 0 everywhere and must not be judged.
+    out = quality.judge_hosts(measured, names=quality.measured_names(edge))
+    rows = out.collect()
+    # Only the two texts around the passage have words enough, and few of them twice.
+    assert len(rows) == len(ROWS) and sorted(r.doc_id for r in rows if not r.base_failed) == [6, 7]
+    assert all(r._kept == (not r.base_failed and not r.host_failed) for r in rows)
     assert quality.judge_hosts(quality.measure(empty)).count() == 0
 
 
+def test_a_filter_on_a_measure_does_not_multiply_the_work(spark):
+    df = spark.createDataFrame([(0, " ".join(f"w{i % 9000}" for i in range(20_000)))], "i int, text string")
+    start = time.perf_counter()
+    assert quality.measure(df).where("n_repeat_words >= 0").first().n_repeat_words == 20_000
+    assert time.perf_counter() - start < 30
+
+
+@pytest.mark.parametrize("copies", [3, 60])
+def test_deal_does_not_depend_on_partitions_or_settings(spark, copies):
+    rows = [(i, f"text {i}") for i in range(120)] + [(1000, "copied " * 40)] * copies
+    df = spark.createDataFrame(rows, "doc_id long, row_salt string").withColumn("size", F.octet_length("row_salt").cast("long") + 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        deals = []
+        for shuffles, parts in ((4, 1), (211, 7)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))
+            deals.append(sorted(map(tuple, sharding.deal(df.repartition(parts), 8, "size", bucket_bytes=1000).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert deals[0] == deals[1] and len(deals[0]) == len(rows)
+    assert sorted(r[:2] for r in deals[0]) == sorted(rows)
+    assert sorted((r[-2], r[-1]) for r in deals[0]) == sorted((i % 8, i // 8) for i in range(len(rows)))
+
+
 def _spans(text, pattern, least=None):
     return [(m.start(), m.end()) for m in re.finditer(pattern, text) if least is None or len(m.group(2)) >= least]
 
@@ -182,8 +212,8 @@ def test_substrings_on_edge_rows(edge, empty):
     out = dedup_substrings(edge)
     assert out.columns[-4:] == ["_n_words", "n_removed", "kept_text", "removed"] and out.count() == len(ROWS)
     got = {r.doc_id: r for r in out.where("doc_id IN (2, 5, 6, 7)").collect()}
-    assert got[2].kept_text == "" and got[6].n_removed == 60 and got[7].kept_text == "before two after two"
-    assert [tuple(x) for x in got[6].removed] == [(2, 62)]
+    assert got[2].kept_text == "" and got[6].n_removed == 61 and got[7].kept_text == "before two two"
+    assert [tuple(x) for x in got[6].removed] == [(2, 63)]
     assert dedup_substrings(empty).count() == 0
 
 
