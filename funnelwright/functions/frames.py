@@ -20,25 +20,26 @@ def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def exact_percentiles(df: DataFrame, value: str, percents: dict[str, int], width: int) -> DataFrame:
-    """Nearest-rank percentiles of an integer column, exact, on many tasks.
+def exact_percentiles(df: DataFrame, value: str, percents: dict[str, int], accuracy: int = 10_000) -> DataFrame:
+    """Nearest-rank percentiles of an integer column, exact, as one row.
 
-    Equal values are counted first (map-side), then placed in buckets of
-    `width` consecutive values. Only bucket totals are ordered in one task -
-    they depend on the range of the values, not on the number of rows - and
-    each bucket orders its own distinct values. Returns one row.
+    Two passes. A mergeable quantile sketch, whose ranks are off by at most one in `accuracy`, brackets each percentile by
+    two values. The second pass counts what lies below a bracket, and the values inside it one by one: about four rows in
+    `accuracy`, the only ones that are ever put in order, each bracket in a task of its own.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    # never NULL, so that no filter is inferred on one side only and the counts are computed once
-    counted = counted.withColumn("bucket", F.coalesce(F.floor(F.col("v") / width), F.lit(0)))
-    ordered = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = counted.groupBy("bucket").agg(F.sum("n").alias("bucket_n")).select(
-        "bucket",
-        F.coalesce(F.sum("bucket_n").over(ordered), F.lit(0)).alias("before"),
-        F.sum("bucket_n").over(Window.partitionBy(F.lit(0))).alias("total"),
-    )
-    inside = Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(buckets, "bucket").withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    rank = {name: F.floor((F.col("total") * p + 99) / 100) for name, p in percents.items()}
-    hit = {name: (F.col("upto") - F.col("n") < r) & (F.col("upto") >= r) for name, r in rank.items()}
+    margin = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, p / 100 + d)) for p in percents.values() for d in (-margin, margin)]
+    sketch = df.agg(F.count(value).alias("total"), F.percentile_approx(value, ends, accuracy).alias("ends")).first()
+    total, found = sketch["total"], sketch["ends"] or [None] * len(ends)
+    v = F.col(value)
+    places = []
+    for i, name in enumerate(percents):
+        low, high = found[2 * i], found[2 * i + 1]
+        # NULL stands for all values below the bracket; it comes first in order.
+        places.append(F.when(v <= high, F.struct(F.lit(name).alias("name"), F.when(v >= low, v).alias("v"))))
+    counted = df.where(v.isNotNull()).select(F.explode(F.array_compact(F.array(*places))).alias("x")).groupBy("x.name", "x.v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("name").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", upto)
+    rank = {name: (total * p + 99) // 100 for name, p in percents.items()}
+    hit = {name: (F.col("name") == name) & (F.col("upto") - F.col("n") < r) & (F.col("upto") >= r) for name, r in rank.items()}
     return placed.agg(*[F.max(F.when(h, F.col("v"))).alias(name) for name, h in hit.items()])

@@ -58,6 +58,11 @@ def uniform(key: Column, part: int = 0) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def normal(key: Column) -> Column:
+    """A repeatable standard normal: Box and Muller's transform of two uniforms of the key."""
+    return F.sqrt(-2 * F.log(1 - uniform(key, 0))) * F.cos(2 * math.pi * uniform(key, 1))
+
+
 def _log_factorial(k: Column) -> Column:
     """ln k! for a whole number k: Stirling's series from 16 on, the product below."""
     z = k + 1.0

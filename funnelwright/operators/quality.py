@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import exact_percentiles, side_by_side
 from ..functions.rules import MIN_CELL, RAW_FLAGS, is_internal, is_unknown_channel, pct, ratio, usd
+from ..sources.tables import stored
 from .sessions import ROW_KEY, SESSION_KEY
 
 # Fixed value: internal sources with high conversion, told apart from the rest.
 LISTED_INTERNAL = (
     "mail.google.com", "groups.google.com", "sites.google.com", "plus.google.com", "docs.google.com",
 )
-USD_MICRO = 1_000_000
 
 
 def unknown_channels(rows: DataFrame) -> DataFrame:
@@ -82,12 +82,9 @@ def session_steps(rows: DataFrame) -> DataFrame:
     )
 
 
-def transactions(hits: DataFrame) -> DataFrame:
-    """Per transaction id: hits, sessions, hits with revenue, naive revenue sum.
-
-    Grouped by (id, session) first, so a hot id is split before it is merged.
-    """
-    per_session = (
+def transaction_sessions(hits: DataFrame) -> DataFrame:
+    """Per transaction id and session: hits, hits with revenue, naive revenue sum."""
+    return (
         hits.where(F.col("tx_id").isNotNull())
         .groupBy("tx_id", *SESSION_KEY)
         .agg(
@@ -96,6 +93,15 @@ def transactions(hits: DataFrame) -> DataFrame:
             F.sum("tx_revenue").alias("revenue"),
         )
     )
+
+
+def transactions(source: DataFrame) -> DataFrame:
+    """Per transaction id: hits, sessions, hits with revenue, naive revenue sum.
+
+    `source` has hits, or already one line per id and session. Grouped by (id,
+    session) first, so a hot id is split before it is merged.
+    """
+    per_session = source if "hit_rows" in source.columns else transaction_sessions(source)
     return per_session.groupBy("tx_id").agg(
         F.sum("hit_rows").alias("hit_rows"),
         F.count("*").alias("sessions_per_tx"),
@@ -127,6 +133,7 @@ def tx_duplicate_examples(hits: DataFrame, n: int = 20) -> DataFrame:
 def revenue_distribution(rows: DataFrame) -> DataFrame:
     """Row revenue: NULL / zero / negative counts, minimum, exact percentiles, maximum."""
     rev = F.col("revenue")
+    rows = stored(rows.select("revenue"), "revenue")
     counts = rows.agg(
         F.count("*").alias("sessions"),
         F.count_if(rev.isNull()).alias("revenue_null"),
@@ -135,7 +142,7 @@ def revenue_distribution(rows: DataFrame) -> DataFrame:
         F.min("revenue").alias("min"),
         F.max("revenue").alias("max"),
     )
-    percentiles = exact_percentiles(rows, "revenue", {"p50": 50, "p95": 95, "p99": 99}, USD_MICRO)
+    percentiles = exact_percentiles(rows, "revenue", {"p50": 50, "p95": 95, "p99": 99})
     return side_by_side(counts, percentiles).select(
         "sessions",
         "revenue_null",
@@ -331,3 +338,14 @@ def internal_split(internal: DataFrame, listed: Sequence[str] = LISTED_INTERNAL)
         )
         .withColumn("cr_pct", pct(F.col("purchase_sessions"), F.col("sessions")))
     )
+
+
+def internal_share(sessions: DataFrame, listed: Sequence[str] = LISTED_INTERNAL) -> DataFrame:
+    """Sessions of internal sources, listed and rest, as a share of all sessions; also those without any purchase."""
+    part = F.when(F.col("source").isin(*listed), "listed").otherwise("rest")
+    counted = sessions.groupBy(F.when(is_internal("source"), part).alias("part")).agg(
+        F.count("*").alias("sessions"), F.sum("purchase_raw").cast("bigint").alias("purchases")
+    )
+    everything = F.sum("sessions").over(Window.partitionBy(F.lit(0)))
+    shared = counted.withColumn("all_sessions", everything)
+    return shared.where("part IS NOT NULL").withColumn("pct_of_all", pct(F.col("sessions"), F.col("all_sessions")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import INTERNAL_NETWORK, MIN_CELL, is_hidden_direct, is_unknown_channel, is_internal, pct
 from .funnel import funnel_counts
-from .metrics import gap, to_long
+from .metrics import gap, step_lines
 from .sessions import min_cell, variant_counts, with_variants
 
 
@@ -154,7 +154,7 @@ def variant_removed(by_variant: DataFrame, device: str = "desktop", base: str =
 
 def variant_gaps(by_variant: DataFrame, a: str = "desktop", b: str = "mobile") -> DataFrame:
     """Gap of two devices per step in each variant and version, and last minus first."""
-    long = to_long(by_variant.where(F.col("device").isin(a, b)), "device", by=["variant"])
+    long = step_lines(by_variant.where(F.col("device").isin(a, b)), "device", by=["variant"])
     steps = gap(long, "device", a, b, by=["variant"])
     return (
         steps.groupBy("variant", "version")

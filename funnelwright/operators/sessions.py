@@ -64,7 +64,7 @@ def with_landing_page(nested: DataFrame) -> DataFrame:
     return nested.withColumn("landing_page", _first_page()["pagePath"])
 
 
-def row_facts(nested: DataFrame) -> DataFrame:
+def row_facts(nested: DataFrame, in_place: bool = False) -> DataFrame:
     """Flat facts of each nested row: attributes, totals, step flags.
 
     Narrow for whole rows (`piece` NULL or absent), repeated keys included, and
@@ -72,6 +72,10 @@ def row_facts(nested: DataFrame) -> DataFrame:
     leaves it needs. The pieces of a row whose hits are stored in several are
     merged by its key with partial aggregation. Each of the two readings skips
     the row groups of the other by their null counts.
+
+    With `in_place` both kinds of rows go through one aggregation, a whole row
+    as a group of its own: for tables in buckets of visitors, which it reads as
+    they lie, while a union of the two readings would have to be dealt anew.
     """
     hit_revenue = F.aggregate(
         F.col("hits.transaction.transactionRevenue"),
@@ -109,12 +113,15 @@ def row_facts(nested: DataFrame) -> DataFrame:
         "hit_revenue": F.sum("hit_revenue"),
     }
     same_on_every_piece = [c for c in flat.columns if c not in (*ROW_KEY, *merged, "piece", "landing")]
-    joined = flat.where("piece IS NOT NULL").groupBy(*ROW_KEY).agg(
-        *[F.min_by(c, "piece").alias(c) for c in same_on_every_piece],
+    aggregates = [
+        *[F.min_by(c, F.coalesce("piece", F.lit(0))).alias(c) for c in same_on_every_piece],
         *[agg.alias(c) for c, agg in merged.items()],
         F.min("landing").pagePath.alias("landing_page"),
-    )
-    return whole.unionByName(joined)
+    ]
+    if in_place:
+        whole_row = F.when(F.col("piece").isNull(), F.monotonically_increasing_id())
+        return flat.withColumn("whole_row", whole_row).groupBy(*ROW_KEY, "whole_row").agg(*aggregates).drop("whole_row")
+    return whole.unionByName(flat.where("piece IS NOT NULL").groupBy(*ROW_KEY).agg(*aggregates))
 
 
 HIT_LEAVES = {

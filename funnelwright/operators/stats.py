@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import MIN_CELL, TOTAL_LABEL, pct, ratio, usd
+from ..functions.rules import MIN_CELL, STEPS, TOTAL_LABEL, pct, ratio, usd
 from ..functions.special import chi_square_tail
 from .sessions import variant_counts
 
@@ -63,6 +63,13 @@ def cramers_v(long: DataFrame, group_col: str, minimum: int = MIN_CELL, by: Sequ
     return chi_square(long, group_col, minimum, by).select(*by, "version", "step", "cramers_v")
 
 
+def through_conversion(long: DataFrame, group_col: str, minimum: int = MIN_CELL, by: Sequence[str] = ()) -> DataFrame:
+    """Group against purchase from the start of the session, not from the step before: statistic, effect size, p."""
+    last = testable_cells(long.where(F.col("step") == STEPS[-1]).withColumn("prev_n", F.col("sessions")), group_col, minimum)
+    tests = chi_square_counts(last.where("tested"), [*by, "version"], "sessions", "n")
+    return tests.withColumn("p_value", F.when(F.col("df") >= 1, chi_square_tail(F.col("chi2"), F.col("df").cast("int"))))
+
+
 def holm(tests: DataFrame, p_value: str, family: Sequence[str], order: Sequence[str], level: float = 0.05) -> DataFrame:
     """Holm-adjusted p within each family of tests; `order` breaks ties of p."""
     p = F.col(p_value)

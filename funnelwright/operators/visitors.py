@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import exact_percentiles
 from ..functions.rules import flag, pct
+from ..sources.tables import stored
 from .sessions import with_variants
 
 
@@ -159,13 +160,15 @@ def _with_observed(visitors: DataFrame, percent: int) -> DataFrame:
     """Visitors with the horizon, the last day of the window, and whether they are kept.
 
     Horizon: nearest-rank percentile, over buyers, of the days from the first
-    session to the first purchase. Both figures are scalar subqueries, so no
-    visitor is joined to anything.
+    session to the first purchase. The visitors are stored first: they are
+    derived once, and the two figures come from the stored table.
     """
+    visitors = stored(visitors, "visitors")
     to_purchase = visitors.select(F.date_diff("first_purchase", "first_date").alias("days"))
-    horizon = exact_percentiles(to_purchase, "days", {"horizon_days": percent}, 1)
-    end = visitors.agg(F.max("last_date").alias("end"))
-    return visitors.withColumns({"horizon_days": horizon.scalar(), "window_end": end.scalar()}).withColumn(
+    horizon = exact_percentiles(to_purchase, "days", {"horizon_days": percent}).first()["horizon_days"]
+    end = visitors.agg(F.max("last_date")).first()[0]
+    known = {"horizon_days": F.lit(horizon).cast("int"), "window_end": F.lit(end).cast("string")}
+    return visitors.withColumns(known).withColumn(
         "observed", flag(F.date_diff("window_end", "first_date") >= F.col("horizon_days"))
     )
 
@@ -188,16 +191,37 @@ def right_edge(visitors: DataFrame, percent: int = 90) -> DataFrame:
     )
 
 
-def left_truncated(visitors: DataFrame) -> DataFrame:
+def first_seen(sessions: DataFrame) -> DataFrame:
+    """Index of visitors: the first session of each in the window, over all sessions.
+
+    To be built before the population filter: a session that the analysis leaves out still shows that the visitor's
+    history begins inside the window. Kept beside the session table, one line per visitor, and extended by day.
+    """
+    return sessions.groupBy("fullVisitorId").agg(F.min(F.struct("visit_number", "visitId", "date")).alias("first_seen"))
+
+
+def extend_first_seen(index: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The index with the sessions of further days, in any order; only these are read."""
+    both = index.unionByName(first_seen(sessions))
+    return both.groupBy("fullVisitorId").agg(F.min("first_seen").alias("first_seen"))
+
+
+def with_first_seen(visitors: DataFrame, index: DataFrame) -> DataFrame:
+    """Visitors with `truncated`: 1 if the first session in the window is not the first ever."""
+    known = index.select("fullVisitorId", flag(F.col("first_seen.visit_number") > 1).alias("truncated"))
+    return visitors.join(known, "fullVisitorId", "left")
+
+
+def left_truncated(visitors: DataFrame, index: DataFrame) -> DataFrame:
     """Left edge: visitors whose first session in the window is not their first ever."""
-    return visitors.agg(
-        F.count("*").alias("visitors"), F.count_if(F.col("first.visit_number") > 1).alias("truncated")
+    return with_first_seen(visitors, index).agg(
+        F.count("*").alias("visitors"), F.count_if(F.col("truncated") == 1).alias("truncated")
     ).withColumn("pct_truncated", pct(F.col("truncated"), F.col("visitors")))
 
 
-def untruncated(visitors: DataFrame) -> DataFrame:
+def untruncated(visitors: DataFrame, index: DataFrame) -> DataFrame:
     """Visitors whose first session in the window is really the first."""
-    return visitors.where(F.col("first.visit_number") <= 1)
+    return with_first_seen(visitors, index).where(F.col("truncated") == 0).drop("truncated")
 
 
 def multi_session(visitors: DataFrame, minimum: int = 2) -> DataFrame:
@@ -205,14 +229,13 @@ def multi_session(visitors: DataFrame, minimum: int = 2) -> DataFrame:
     return visitors.where(F.col("sessions") >= minimum)
 
 
-def with_slices(visitors: DataFrame, percent: int = 90) -> DataFrame:
+def with_slices(visitors: DataFrame, index: DataFrame, percent: int = 90) -> DataFrame:
     """Each visitor once per slice (`slice`) it belongs to: all, and the three guards above."""
     slices = {
         "all": F.lit(True),
         "observable": F.col("observed") == 1,
-        "untruncated": F.col("first.visit_number") <= 1,
+        "untruncated": F.col("truncated") == 0,
         "multi_session": F.col("sessions") >= 2,
     }
-    return with_variants(_with_observed(visitors, percent), slices, "slice").drop(
-        "horizon_days", "window_end", "observed"
-    )
+    known = with_first_seen(_with_observed(visitors, percent), index)
+    return with_variants(known, slices, "slice").drop("horizon_days", "window_end", "observed", "truncated")

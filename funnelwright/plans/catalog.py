@@ -21,13 +21,15 @@ from ..operators import segments as sg
 from ..operators import sessions as se
 from ..operators import stats as st
 from ..operators import visitors as vi
-from ..sources.events import hits_from_events, nested_from_events, rows_from_events, transaction_hits_from_events
+from ..sources.events import hits_from_events, nested_from_events, rows_from_events, transaction_sessions_from_events
 from ..sources.schemas import EVENTS, RESULTS
 from ..sources.tables import (
     read_optional,
     read_result,
     read_sessions,
     shared_dir,
+    stored,
+    write_bucketed_sessions,
     write_result,
     write_sessions,
 )
@@ -50,12 +52,8 @@ def rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows_from_events(events(spark, folder))
 
 
-def hits(spark: SparkSession, folder: str) -> DataFrame:
-    return hits_from_events(events(spark, folder))
-
-
-def tx_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return transaction_hits_from_events(events(spark, folder))
+def tx_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return transaction_sessions_from_events(events(spark, folder))
 
 
 def nested(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +68,10 @@ def population(spark: SparkSession, folder: str) -> DataFrame:
     return se.population(sessions(spark, folder))
 
 
+def first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return vi.first_seen(sessions(spark, folder))
+
+
 def visitors(spark: SparkSession, folder: str) -> DataFrame:
     return vi.visitor_profiles(population(spark, folder))
 
@@ -96,6 +98,14 @@ def stored_sessions_by_day(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def bucketed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Behavioural sessions read from a session table in buckets of visitors."""
+    path = shared_dir(spark, "bucketed-sessions")
+    name = "sessions_" + path.rsplit("-", 1)[1]
+    write_bucketed_sessions(nested(spark, folder), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return se.behavioural_sessions(se.row_facts(spark.table(name), in_place=True))
+
+
 def stored_result(query: Query, name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         path = shared_dir(spark, name)
@@ -163,7 +173,9 @@ def country_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 def reissued_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The two most re-issued transactions, hit by hit."""
-    return qu.tx_hits(hits(spark, folder), qu.tx_duplicate_examples(tx_hits(spark, folder), 2))
+    bought = stored(tx_sessions(spark, folder), "transactions")
+    visits = bought.join(qu.tx_duplicate_examples(bought, 2).select("tx_id"), "tx_id", "left_semi")
+    return qu.tx_hits(hits_from_events(events(spark, folder), visits=visits), visits)
 
 
 funnel_by_channel = _on(population, fu.funnel_by, "channel")
@@ -178,15 +190,15 @@ funnel_variants: Query = lambda spark, folder: fu.funnel_by_variants(
 gaps: Query = lambda spark, folder: qu.funnel_gaps(qu.session_steps(rows(spark, folder)))
 cross = _on(population, sg.channel_device_cross)
 truth = _on(rows, qu.revenue_source_of_truth)
-rev_hits = _on(tx_hits, qu.rev_hits_distribution)
+rev_hits = _on(tx_sessions, qu.rev_hits_distribution)
 exclusions = _on(sessions, fu.exclusions_reconciliation)
 
 NAMED: dict[str, Query] = {
     "q01_unknown_channels": _on(rows, qu.unknown_channels),
     "q02_session_duplicates": _on(rows, qu.session_duplicates),
     "q03_funnel_steps": gaps,
-    "q04_tx_duplicates": _on(tx_hits, qu.tx_duplicates),
-    "q04b_tx_duplicates_examples": _on(tx_hits, qu.tx_duplicate_examples),
+    "q04_tx_duplicates": _on(tx_sessions, qu.tx_duplicates),
+    "q04b_tx_duplicates_examples": _on(tx_sessions, qu.tx_duplicate_examples),
     "q05_revenue_distribution": _on(rows, qu.revenue_distribution),
     "q05b_revenue_source_of_truth": truth,
     "q06_null_pageviews": _on(rows, qu.null_pageviews),
@@ -218,9 +230,9 @@ NAMED: dict[str, Query] = {
 
 # ---- derived figures -------------------------------------------------------
 
-long_channel = _on(funnel_by_channel, me.to_long, "channel")
-long_device = _on(funnel_by_device, me.to_long, "device")
-long_visitor = _on(funnel_by_visitor_type, me.to_long, "visitor_type", ["mono"])
+long_channel = _on(funnel_by_channel, me.step_lines, "channel")
+long_device = _on(funnel_by_device, me.step_lines, "device")
+long_visitor = _on(funnel_by_visitor_type, me.step_lines, "visitor_type", ["mono"])
 device_gap = _on(long_device, me.gap, "device", "desktop", "mobile")
 visitor_gap = _on(long_visitor, me.gap, "visitor_type", "returning", "new")
 PAIR = ["version", "step", "cr_a", "cr_b", "gap_pp", "ratio", "largest", "smallest"]
@@ -231,11 +243,12 @@ DERIVED: dict[str, Query] = {
     "m03_key_diagnosis": _on(rows, qu.key_diagnosis),
     "m04_missing_steps": _on(gaps, qu.missing_steps),
     "m05_purchase_reconciliation": lambda s, d: qu.purchase_reconciliation(
-        gaps(s, d), qu.tx_duplicates(tx_hits(s, d)), qu.revenue_distribution(rows(s, d))
+        gaps(s, d), qu.tx_duplicates(tx_sessions(s, d)), qu.revenue_distribution(rows(s, d))
     ),
     "m06_revenue_gap": _on(truth, qu.revenue_gap),
     "m07_reissue_summary": lambda s, d: qu.reissue_summary(rev_hits(s, d), truth(s, d)),
     "m08_internal_split": lambda s, d: qu.internal_split(qu.internal_sources(rows(s, d))),
+    "m08b_internal_share": lambda s, d: qu.internal_share(sessions(s, d)),
     "m09_direct_reassigned": _on(population, at.direct_reassigned),
     "m10_check_exclusions": _on(exclusions, me.check_exclusions),
     "m11_long_funnel": lambda s, d: long_channel(s, d).drop("step_no"),
@@ -274,7 +287,7 @@ def _varied(spark: SparkSession, folder: str) -> DataFrame:
 
 def _variant_long(spark: SparkSession, folder: str) -> DataFrame:
     funnel = fu.funnel_by_variants(population(spark, folder), "channel", sg.sensitivity_variants())
-    return me.to_long(funnel, "channel", by=["variant"])
+    return me.step_lines(funnel, "channel", by=["variant"])
 
 
 def _hidden_pair(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,7 +301,7 @@ def _z_tests(spark: SparkSession, folder: str) -> DataFrame:
         population(spark, folder), "device",
         {k: v for k, v in sg.sample_variants().items() if k in ("all", "no_hidden_referral")},
     )
-    return st.z_test(me.to_long(funnel, "device", by=["variant"]), "device", "desktop", "mobile", by=["variant"])
+    return st.z_test(me.step_lines(funnel, "device", by=["variant"]), "device", "desktop", "mobile", by=["variant"])
 
 
 varied_shift: Query = lambda s, d: vi.attribution_shift(
@@ -310,11 +323,18 @@ STATISTICS: dict[str, Query] = {
     "s04b_bootstrap_v_sessions": _rounded(
         _on(population, bs.bootstrap_v_diff, "channel", REPS, unit="session"), 9, "estimate", "low", "high"
     ),
+    "s04c_bootstrap_v_moments": _rounded(
+        _on(population, bs.bootstrap_v_diff, "channel", REPS, method="moments"), 9, "estimate", "low", "high"
+    ),
     "s05_z_test": _rounded(lambda s, d: _z_tests(s, d).drop("step_no"), 8, "z", "p_value", "p_holm"),
     "s06_bootstrap_gap": _rounded(
         _on(_hidden_pair, bs.bootstrap_gap_diff, "device", "desktop", "mobile", REPS, by=["variant"]),
         9, "estimate", "low", "high",
     ),
+    "s06b_bootstrap_gap_moments": _rounded(
+        _on(_hidden_pair, bs.bootstrap_gap_diff, "device", "desktop", "mobile", REPS, by=["variant"], method="moments"),
+        9, "estimate", "low", "high",
+    ),
     "s07_cv_compare": _rounded(
         _on(population, st.cv_compare), 9, "cv_conversion", "cv_order_value", "cv_ratio"
     ),
@@ -326,16 +346,23 @@ STATISTICS: dict[str, Query] = {
     "s12_bootstrap_spearman": _rounded(
         _on(visitors, bs.bootstrap_spearman, REPS), 9, "estimate", "low", "high"
     ),
+    "s12b_bootstrap_spearman_moments": _rounded(
+        _on(visitors, bs.bootstrap_spearman, REPS, method="moments"), 9, "estimate", "low", "high"
+    ),
+    "s12c_bootstrap_spearman_slices": _rounded(
+        lambda s, d: bs.bootstrap_spearman(vi.with_slices(visitors(s, d), first_seen(s, d)), REPS, by=["slice"], method="moments"),
+        9, "estimate", "low", "high",
+    ),
     "s13_purchase_visit_numbers": _on(population, vi.purchase_visit_numbers),
     "s13b_visits_to_purchase": lambda s, d: vi.visits_to_purchase(population(s, d), visitors(s, d)),
     "s14_right_edge": _on(visitors, vi.right_edge),
     "s14b_observable_shift": lambda s, d: vi.attribution_shift(vi.observable_visitors(visitors(s, d))),
-    "s15_left_truncated": _on(visitors, vi.left_truncated),
-    "s15b_untruncated_shift": lambda s, d: vi.attribution_shift(vi.untruncated(visitors(s, d))),
+    "s15_left_truncated": lambda s, d: vi.left_truncated(visitors(s, d), first_seen(s, d)),
+    "s15b_untruncated_shift": lambda s, d: vi.attribution_shift(vi.untruncated(visitors(s, d), first_seen(s, d))),
     "s16_multi_session_shift": lambda s, d: vi.attribution_shift(vi.multi_session(visitors(s, d))),
     "s16b_slice_spearman": _rounded(
         lambda s, d: vi.spearman(
-            vi.attribution_shift(vi.with_slices(visitors(s, d)), ["slice"]), "last_click", "first_touch", ["slice"]
+            vi.attribution_shift(vi.with_slices(visitors(s, d), first_seen(s, d)), ["slice"]), "last_click", "first_touch", ["slice"]
         ),
         9, "rho",
     ),
@@ -352,6 +379,17 @@ STATISTICS: dict[str, Query] = {
     "s17e_sensitivity_bootstrap": _rounded(
         _on(_varied, bs.bootstrap_v_diff, "channel", REPS, by=["variant"]), 9, "estimate", "low", "high"
     ),
+    "s04d_bootstrap_v_strict": _rounded(
+        _on(population, bs.bootstrap_v_diff, "channel", REPS, version="strict", method="moments"), 9, "estimate", "low", "high"
+    ),
+    "s06c_bootstrap_gap_strict": _rounded(
+        _on(_hidden_pair, bs.bootstrap_gap_diff, "device", "desktop", "mobile", REPS, version="strict", by=["variant"], method="moments"),
+        9, "estimate", "low", "high",
+    ),
+    "s02b_through_conversion": _rounded(_on(long_channel, st.through_conversion, "channel"), 8, "chi2", "cramers_v", "p_value"),
+    "s17f_sensitivity_bootstrap_moments": _rounded(
+        _on(_varied, bs.bootstrap_v_diff, "channel", REPS, by=["variant"], method="moments"), 9, "estimate", "low", "high"
+    ),
     "s18_referral_two_ways": _on(sessions, sg.referral_two_ways),
     "s19_testable_cells": lambda s, d: st.testable_cells(long_channel(s, d), "channel").select(
         "version", "channel", "step", "prev_n", "tested"
@@ -369,6 +407,7 @@ TRANSFORMS: dict[str, Query] = {
     "b01_step_flags": step_flags,
     "b02_steps_exploded": steps_exploded,
     "b03_behavioural_sessions": sessions,
+    "b03b_bucketed_sessions": bucketed_sessions,
     "b04_population": lambda s, d: population(s, d).select(*KEY, "channel", "source"),
     "b05_internal_source": internal_rows,
     "b06_monotone": monotone,

@@ -7,6 +7,8 @@ Figures that end in a sum of floats are rounded as in the catalog.
 
 from __future__ import annotations
 
+from functools import partial
+
 REPS = 1000
 
 BASE = """
@@ -101,26 +103,32 @@ sess AS (
     CAST(SUM(revenue) AS BIGINT) AS revenue
   FROM facts GROUP BY "fullVisitorId", "visitId"
 ),
+deep AS (
+  SELECT *,
+    CASE WHEN purchase_raw = 1 THEN 4 WHEN checkout_raw = 1 THEN 3 WHEN cart_raw = 1 THEN 2 ELSE view_raw END AS deepest,
+    CASE WHEN view_raw = 0 THEN 0 WHEN cart_raw = 0 THEN 1 WHEN checkout_raw = 0 THEN 2 ELSE 3 + purchase_raw END AS unbroken
+  FROM sess
+),
+flagged AS (
+  SELECT *,
+    CAST(deepest >= 1 AS INT) AS mono_1, CAST(deepest >= 2 AS INT) AS mono_2,
+    CAST(deepest >= 3 AS INT) AS mono_3, CAST(deepest >= 4 AS INT) AS mono_4,
+    CAST(unbroken >= 1 AS INT) AS strict_1, CAST(unbroken >= 2 AS INT) AS strict_2,
+    CAST(unbroken >= 3 AS INT) AS strict_3, CAST(unbroken >= 4 AS INT) AS strict_4
+  FROM deep
+),
 pop AS (
   SELECT *,
-    GREATEST(view_raw, cart_raw, checkout_raw, purchase_raw) AS view_m,
-    GREATEST(cart_raw, checkout_raw, purchase_raw) AS cart_m,
-    GREATEST(checkout_raw, purchase_raw) AS checkout_m,
-    purchase_raw AS purchase_m,
-    view_raw AS view_s,
-    view_raw * cart_raw AS cart_s,
-    view_raw * cart_raw * checkout_raw AS checkout_s,
-    view_raw * cart_raw * checkout_raw * purchase_raw AS purchase_s,
     channel = 'Referral' AND source = '(direct)' AND medium = '(none)' AS hidden
-  FROM sess
+  FROM flagged
   WHERE channel IS NOT NULL AND channel <> '(Other)' AND source NOT LIKE '%.google.com'
 )
 """
 
-MONO = """CAST(SUM(view_m) AS BIGINT) AS viewed_mono, CAST(SUM(cart_m) AS BIGINT) AS cart_mono,
-  CAST(SUM(checkout_m) AS BIGINT) AS checkout_mono, CAST(SUM(purchase_m) AS BIGINT) AS purchase_mono"""
-STRICT = """CAST(SUM(view_s) AS BIGINT) AS viewed_strict, CAST(SUM(cart_s) AS BIGINT) AS cart_strict,
-  CAST(SUM(checkout_s) AS BIGINT) AS checkout_strict, CAST(SUM(purchase_s) AS BIGINT) AS purchase_strict"""
+MONO = """CAST(SUM(mono_1) AS BIGINT) AS viewed_mono, CAST(SUM(mono_2) AS BIGINT) AS cart_mono,
+  CAST(SUM(mono_3) AS BIGINT) AS checkout_mono, CAST(SUM(mono_4) AS BIGINT) AS purchase_mono"""
+STRICT = """CAST(SUM(strict_1) AS BIGINT) AS viewed_strict, CAST(SUM(strict_2) AS BIGINT) AS cart_strict,
+  CAST(SUM(strict_3) AS BIGINT) AS checkout_strict, CAST(SUM(strict_4) AS BIGINT) AS purchase_strict"""
 COUNTS = f"COUNT(*) AS sessions, {MONO}, {STRICT}"
 
 
@@ -341,6 +349,8 @@ DAYS = """days AS (SELECT DATE_DIFF('day', CAST(first_date AS DATE), CAST(first_
 days_n AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS rn, COUNT(*) OVER () AS n FROM days),
 horizon AS (SELECT d AS horizon_days FROM days_n WHERE rn = (n * 90 + 99) // 100),
 window_end AS (SELECT MAX(date) AS last_day FROM pop)"""
+# The first session in the window, over all sessions and not the analysed ones alone, is the first ever.
+UNTRUNCATED = """"fullVisitorId" IN (SELECT "fullVisitorId" FROM sess GROUP BY 1 HAVING MIN(visit_number) <= 1)"""
 SEEN = """DATE_DIFF('day', CAST(first_date AS DATE), CAST((SELECT last_day FROM window_end) AS DATE))
   >= (SELECT horizon_days FROM horizon)"""
 
@@ -371,11 +381,67 @@ drawn AS (SELECT d.* EXCLUDE (u, h), CASE WHEN rep = 0 THEN d.m ELSE low + LEN(L
   FROM drawn0 d JOIN cdfs USING (m))"""
 
 
+def told(*fields: str) -> str:
+    """Fields as text that tells them apart: each behind its length, a missing one as a mark."""
+    return " || ',' || ".join(f"COALESCE(LENGTH(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields)
+
+
+def moment_draws(keys: str = "") -> str:
+    """Table `md`: totals of each cell (a, b) in each replicate, from `mu` (visitor, a, b, n)."""
+    same = f"PARTITION BY {keys.rstrip(', ')} " if keys else ""
+    group = f"GROUP BY {keys.rstrip(', ')}" if keys else ""
+    using = "USING (" + keys + '"fullVisitorId")'
+    joined = " AND ".join([f"x.{k} = y.{k}" for k in keys.replace(" ", "").split(",") if k] or ["TRUE"])
+    lead = "".join(f"x.{k}, " for k in keys.replace(" ", "").split(",") if k)
+    return f"""mc AS (SELECT {keys}a, b, SUM(n)::DOUBLE AS total, ROW_NUMBER() OVER ({same}ORDER BY a, b) AS i FROM mu GROUP BY {keys}a, b),
+mi AS (SELECT {keys}"fullVisitorId", i, n::DOUBLE AS n FROM mu JOIN mc USING ({keys}a, b)),
+mp AS (SELECT {keys}x.i AS i, y.i AS j, SUM(x.n * y.n) AS s FROM mi x JOIN mi y {using} GROUP BY ALL),
+mr AS (SELECT {lead}x.i AS i, ANY_VALUE(x.total) AS total, LIST(COALESCE(s, 0) ORDER BY y.i) AS line
+  FROM mc x JOIN mc y ON {joined} LEFT JOIN mp ON mp.i = x.i AND mp.j = y.i {"".join(f"AND mp.{k} = x.{k} " for k in keys.replace(" ", "").split(",") if k)}GROUP BY {lead}x.i),
+mm AS (SELECT {keys}LIST(total ORDER BY i) AS totals, LIST(line ORDER BY i) AS c FROM mr {group}),
+ml AS (
+  SELECT {keys}0 AS k, totals, c, CAST([] AS DOUBLE[][]) AS cols FROM mm
+  UNION ALL
+  SELECT {keys}k + 1, totals, c, LIST_APPEND(cols, LIST_TRANSFORM(rest, lambda v, i:
+    CASE WHEN rest[k + 1] > 1e-9 * c[k + 1][k + 1] AND i > k THEN v / SQRT(rest[k + 1]) ELSE 0 END))
+  FROM (SELECT *, LIST_TRANSFORM(c[k + 1], lambda v, i:
+    v - COALESCE(LIST_SUM(LIST_TRANSFORM(cols, lambda l: l[i] * l[k + 1])), 0)) AS rest FROM ml WHERE k < LEN(c))
+),
+mz AS (SELECT ml.*, rep, LIST_TRANSFORM(RANGE(LEN(c)), lambda j: MD5('1|' || rep || '|' || j)) AS h
+  FROM ml, (SELECT UNNEST(RANGE(0, {REPS + 1})) AS rep) WHERE k = LEN(c)),
+mn AS (SELECT *, LIST_TRANSFORM(h, lambda x: SQRT(-2 * LN(1 - CAST(('0x' || SUBSTR(x, 1, 8)) AS UBIGINT) / 4294967296.0::DOUBLE))
+  * COS(2 * PI() * CAST(('0x' || SUBSTR(x, 9, 8)) AS UBIGINT) / 4294967296.0::DOUBLE)) AS z FROM mz),
+mw AS (SELECT {keys}rep, UNNEST(RANGE(1, LEN(c) + 1)) AS i, totals, cols, z FROM mn),
+md AS (SELECT {keys}rep, a, b, CASE WHEN rep = 0 THEN total ELSE GREATEST(0, FLOOR(total
+    + LIST_SUM(LIST_TRANSFORM(cols, lambda l, j: l[i] * z[j])) + 0.5)) END AS w FROM mw JOIN mc USING ({keys}i))"""
+
+
+def reach_moments(source: str, group: str, keys: str = "", depth: str = "deepest") -> str:
+    """Table `rc` from moments: cells are group and depth."""
+    return f"""mu AS (SELECT {keys}"fullVisitorId", {group} AS a, {depth} AS b, COUNT(*) AS n
+  FROM {source} GROUP BY ALL),
+{moment_draws(keys)},
+rg AS (SELECT {keys}rep, a AS g, SUM(w) AS n0, SUM(CASE WHEN b >= 1 THEN w ELSE 0 END) AS n1,
+  SUM(CASE WHEN b >= 3 THEN w ELSE 0 END) AS n3, SUM(CASE WHEN b >= 4 THEN w ELSE 0 END) AS n4 FROM md GROUP BY ALL),
+{entered_steps(keys)}"""
+
+
+def credit_moments(keys: str = "") -> str:
+    """Table `pc` from moments: cells are channel and rule; `mu` has them."""
+    return f"""{moment_draws(keys)},
+pc AS (SELECT {keys}rep, a AS channel, SUM(CASE WHEN b = 'last' THEN w ELSE 0 END) AS last_click,
+  SUM(CASE WHEN b = 'first' THEN w ELSE 0 END) AS first_touch FROM md GROUP BY ALL)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def reach_draws(source: str, group: str, keys: str = "") -> str:
     """Table `rc`: entered and passed of the first and last step per replicate and group."""
-    return f"""unit AS (SELECT {keys}"fullVisitorId", {group} AS g, view_m + cart_m + checkout_m + purchase_m AS depth,
+    return f"""unit AS (SELECT {keys}"fullVisitorId", {group} AS g, deepest AS depth,
   COUNT(*) AS n FROM {source} GROUP BY ALL),
-person_p AS (SELECT {keys}"fullVisitorId", STRING_AGG(g || ':' || depth || ':' || n, ',' ORDER BY g, depth, n) AS pattern,
+person_p AS (SELECT {keys}"fullVisitorId", STRING_AGG({told("g", "depth", "n")}, ',' ORDER BY g, depth, n) AS pattern,
   LIST({{'g': g, 'depth': depth, 'n': n}} ORDER BY g, depth, n) AS items FROM unit GROUP BY {keys}"fullVisitorId"),
 pat AS (SELECT {keys}pattern, items, COUNT(*) AS m FROM person_p GROUP BY ALL),
 {reached_steps(keys)}"""
@@ -387,7 +453,11 @@ flat AS (SELECT {keys}rep, w, UNNEST(items) AS i FROM drawn),
 rg AS (SELECT {keys}rep, i.g AS g, SUM(w * i.n) AS n0, SUM(CASE WHEN i.depth >= 1 THEN w * i.n ELSE 0 END) AS n1,
   SUM(CASE WHEN i.depth >= 3 THEN w * i.n ELSE 0 END) AS n3, SUM(CASE WHEN i.depth >= 4 THEN w * i.n ELSE 0 END) AS n4
   FROM flat GROUP BY ALL),
-rs AS (SELECT {keys}rep, g, 'first' AS step, n0 AS entered, n1 AS passed FROM rg
+{entered_steps(keys)}"""
+
+
+def entered_steps(keys: str = "") -> str:
+    return f"""rs AS (SELECT {keys}rep, g, 'first' AS step, n0 AS entered, n1 AS passed FROM rg
   UNION ALL SELECT {keys}rep, g, 'last', n3, n4 FROM rg),
 rc AS (SELECT * FROM rs QUALIFY MAX(CASE WHEN rep = 0 THEN entered END) OVER (PARTITION BY {keys}g, step) >= 100)"""
 
@@ -439,12 +509,13 @@ FROM pop GROUP BY channel"""),
     "b01_step_flags": cte(f"SELECT {K}, date, n_hits, view_raw, cart_raw, checkout_raw, purchase_raw FROM facts"),
     "b02_steps_exploded": cte(STEPS_BY_SESSION, "SELECT * FROM steps"),
     "b03_behavioural_sessions": cte("SELECT * FROM sess"),
+    "b03b_bucketed_sessions": cte("SELECT * FROM sess"),
     "b04_population": cte(f"SELECT {K}, channel, source FROM pop"),
     "b05_internal_source": cte(f"SELECT {K}, date, source, source LIKE '%.google.com' AS internal FROM facts"),
-    "b06_monotone": cte(f"""SELECT {K}, view_m AS viewed_mono, cart_m AS cart_mono, checkout_m AS checkout_mono,
-  purchase_m AS purchase_mono FROM pop"""),
-    "b07_strict": cte(f"""SELECT {K}, view_s AS viewed_strict, cart_s AS cart_strict, checkout_s AS checkout_strict,
-  purchase_s AS purchase_strict FROM pop"""),
+    "b06_monotone": cte(f"""SELECT {K}, mono_1 AS viewed_mono, mono_2 AS cart_mono, mono_3 AS checkout_mono,
+  mono_4 AS purchase_mono FROM pop"""),
+    "b07_strict": cte(f"""SELECT {K}, strict_1 AS viewed_strict, strict_2 AS cart_strict, strict_3 AS checkout_strict,
+  strict_4 AS purchase_strict FROM pop"""),
     "b08_direct_sourced": cte(f"""SELECT {K}, CASE WHEN source = '(direct)' AND medium = '(none)' THEN 1 ELSE 0 END
   AS direct_sourced FROM sess"""),
     "b09_hidden_direct": cte(f"""SELECT {K}, CASE WHEN channel = 'Referral' AND source = '(direct)' AND medium = '(none)'
@@ -575,6 +646,10 @@ FROM pv GROUP BY grp"""),
   {big("SUM(sessions)")} AS sessions, {big("SUM(purchase_sessions)")} AS purchase_sessions,
   FIRST(source ORDER BY parts.sessions DESC, source) AS biggest_source, MAX(parts.sessions) AS biggest_sessions,
   {pct("SUM(parts.purchase_sessions)", "SUM(parts.sessions)")} AS cr_pct FROM parts GROUP BY part"""),
+    "m08b_internal_share": cte(f"""SELECT CASE WHEN source IN ('mail.google.com', 'groups.google.com', 'sites.google.com',
+    'plus.google.com', 'docs.google.com') THEN 'listed' ELSE 'rest' END AS part, COUNT(*) AS sessions,
+  {big("SUM(purchase_raw)")} AS purchases, ANY_VALUE(n) AS all_sessions, {pct("COUNT(*)", "ANY_VALUE(n)")} AS pct_of_all
+FROM sess, (SELECT COUNT(*) AS n FROM sess) WHERE source LIKE '%.google.com' GROUP BY 1"""),
     "m09_direct_reassigned": cte("""d AS (SELECT COUNT(*) AS sample,
   COUNT(*) FILTER (WHERE source = '(direct)' AND medium = '(none)') AS direct_sourced,
   COUNT(*) FILTER (WHERE source = '(direct)' AND medium = '(none)' AND channel = 'Direct') AS in_direct,
@@ -594,8 +669,8 @@ FROM l GROUP BY version, channel"""),
   {pct("prev_n - n", "sessions")} AS pct_lost_of_start, n AS reached, cr_overall AS pct_reached
 FROM l WHERE channel = 'ALL'"""),
     "m14_entry_loss": cte(f"""SELECT 'all' AS sample, COUNT(*) AS sessions,
-  {pct("COUNT(*) - SUM(view_m)", "COUNT(*)")} AS pct_lost FROM pop
-UNION ALL SELECT 'without', COUNT(*), {pct("COUNT(*) - SUM(view_m)", "COUNT(*)")} FROM pop WHERE channel <> 'Social'"""),
+  {pct("COUNT(*) - SUM(mono_1)", "COUNT(*)")} AS pct_lost FROM pop
+UNION ALL SELECT 'without', COUNT(*), {pct("COUNT(*) - SUM(mono_1)", "COUNT(*)")} FROM pop WHERE channel <> 'Social'"""),
     "m15_spread": cte(CHANNEL_FUNNEL, long_of("channel"), f"""SELECT version, step, MIN(cr_step) AS min_cr_step,
   MAX(cr_step) AS max_cr_step, MAX(cr_step) - MIN(cr_step) AS spread_pp,
   MAX(cr_overall) - MIN(cr_overall) AS overall_spread_pp,
@@ -675,15 +750,24 @@ FROM n v, (SELECT * FROM n WHERE variant = 'all') a WHERE v.variant <> 'all'""")
     "s01_chi_square": cte(*CHI, """SELECT version, step, groups, n, df, ROUND(chi2, 8) AS chi2,
   ROUND(p_value, 8) AS p_value FROM tests"""),
     "s02_cramers_v": cte(*CHI, "SELECT version, step, ROUND(cramers_v, 9) AS cramers_v FROM tests"),
+    "s02b_through_conversion": cte(CHANNEL_FUNNEL, long_of("channel"),
+        "cells AS (SELECT version, channel, sessions, n FROM l WHERE channel <> 'ALL' AND step = 'purchase' AND sessions >= 100)",
+        chi_of("cells", "version", "sessions", "n"),
+        f"""SELECT version, groups, n, ROUND(chi2, 8) AS chi2, df, CASE WHEN df >= 1 THEN ROUND(SQRT(chi2 / n), 8) END AS cramers_v,
+  CASE WHEN df >= 1 THEN ROUND({tail("chi2", "df")}, 8) END AS p_value FROM chi"""),
     "s03_holm": cte(*CHI, holm("p_value", "version", "tests"), """SELECT version, step, ROUND(p_value, 8) AS p_value,
   ROUND(p_holm, 8) AS p_holm, p_holm < 0.05 AS significant FROM hp"""),
     "s04_bootstrap_v": cte(reach_draws("pop", "channel"), chi_of("rc", "rep, step", "entered", "passed"),
         V_DIFFS,
         interval("vs", "diff")),
     "s04b_bootstrap_v_sessions": cte(
-        """pat AS (SELECT channel || ':' || depth || ':1' AS pattern, [{'g': channel, 'depth': depth, 'n': 1}] AS items,
-  COUNT(*) AS m FROM (SELECT channel, view_m + cart_m + checkout_m + purchase_m AS depth FROM pop) GROUP BY channel, depth)""",
+        f"""pat AS (SELECT {told("channel", "depth", "1")} AS pattern, [{{'g': channel, 'depth': depth, 'n': 1}}] AS items,
+  COUNT(*) AS m FROM (SELECT channel, deepest AS depth FROM pop) GROUP BY channel, depth)""",
         reached_steps(), chi_of("rc", "rep, step", "entered", "passed"), V_DIFFS, interval("vs", "diff")),
+    "s04c_bootstrap_v_moments": recursive(cte(reach_moments("pop", "channel"), chi_of("rc", "rep, step", "entered", "passed"),
+        V_DIFFS, interval("vs", "diff"))),
+    "s04d_bootstrap_v_strict": recursive(cte(reach_moments("pop", "channel", depth="unbroken"),
+        chi_of("rc", "rep, step", "entered", "passed"), V_DIFFS, interval("vs", "diff"))),
     "s05_z_test": cte(VARIANTS, VARIANT_FUNNEL, long_of("device", keys="variant, "),
         """zz AS (SELECT variant, version, step, step_no, a.prev_n AS n_a, a.n AS k_a, b.prev_n AS n_b, b.n AS k_b,
   (a.n + b.n) / CAST(a.prev_n + b.prev_n AS DOUBLE) AS pooled
@@ -696,14 +780,16 @@ FROM n v, (SELECT * FROM n WHERE variant = 'all') a WHERE v.variant <> 'all'""")
         holm("p_value", "variant, version", "zt"),
         """SELECT variant, version, step, n_a, k_a, n_b, k_b, ROUND(z, 8) AS z, ROUND(p_value, 8) AS p_value,
   ROUND(p_holm, 8) AS p_holm, p_holm < 0.05 AS significant FROM hp"""),
-    "s06_bootstrap_gap": cte(VARIANTS,
+    **{name: wrap(cte(VARIANTS,
         "two AS (SELECT * FROM vp WHERE variant IN ('all', 'no_hidden_referral') AND device IN ('desktop', 'mobile'))",
-        reach_draws("two", "device", "variant, "),
+        draws("two", "device", "variant, "),
         """rr AS (SELECT variant, rep, g, step, 1e2 * passed / NULLIF(entered, 0) AS r FROM rc)""",
         """vs AS (SELECT variant, rep, (MAX(r) FILTER (WHERE g = 'desktop' AND step = 'last')
   - MAX(r) FILTER (WHERE g = 'mobile' AND step = 'last')) - (MAX(r) FILTER (WHERE g = 'desktop' AND step = 'first')
   - MAX(r) FILTER (WHERE g = 'mobile' AND step = 'first')) AS diff FROM rr GROUP BY variant, rep)""",
-        interval("vs", "diff", "variant, ")),
+        interval("vs", "diff", "variant, "))) for name, draws, wrap in (
+            ("s06_bootstrap_gap", reach_draws, str), ("s06b_bootstrap_gap_moments", reach_moments, recursive),
+            ("s06c_bootstrap_gap_strict", partial(reach_moments, depth="unbroken"), recursive))},
     "s07_cv_compare": cv("pop"),
     "s08_revenue_by_channel": cte(REVENUE_BY.format(keys="", source="pop")),
     "s09_first_touch": cte(PEOPLE, """SELECT "fullVisitorId", first_channel, first_visit_number, first_date, sessions,
@@ -715,13 +801,24 @@ FROM n v, (SELECT * FROM n WHERE variant = 'all') a WHERE v.variant <> 'all'""")
     "s12_bootstrap_spearman": cte(PEOPLE, """cr AS (
   SELECT "fullVisitorId", channel, purchases AS last, 0 AS first FROM chan WHERE purchases > 0
   UNION ALL SELECT "fullVisitorId", first_channel, 0, purchases FROM person WHERE purchases > 0)""",
-        """pp AS (SELECT "fullVisitorId",
-  STRING_AGG(channel || ':' || last || ':' || first, ',' ORDER BY channel, last, first) AS pattern,
-  LIST({'c': channel, 'last': last, 'first': first} ORDER BY channel, last, first) AS items FROM cr GROUP BY 1)""",
+        f"""pp AS (SELECT "fullVisitorId",
+  STRING_AGG({told("channel", "last", "first")}, ',' ORDER BY channel, last, first) AS pattern,
+  LIST({{'c': channel, 'last': last, 'first': first}} ORDER BY channel, last, first) AS items FROM cr GROUP BY 1)""",
         "pat AS (SELECT pattern, items, COUNT(*) AS m FROM pp GROUP BY ALL)", DRAWS,
         "flat AS (SELECT rep, w, UNNEST(items) AS i FROM drawn)",
         """pc AS (SELECT rep, i.c AS channel, SUM(w * i.last) AS last_click, SUM(w * i.first) AS first_touch
   FROM flat GROUP BY ALL)""", spearman_of("pc", "rep"), interval("rho", "rho", verdict=False)),
+    "s12b_bootstrap_spearman_moments": recursive(cte(PEOPLE, """mu AS (
+  SELECT "fullVisitorId", channel AS a, 'last' AS b, purchases AS n FROM chan WHERE purchases > 0
+  UNION ALL SELECT "fullVisitorId", first_channel, 'first', purchases FROM person WHERE purchases > 0)""",
+        credit_moments(), spearman_of("pc", "rep"), interval("rho", "rho", verdict=False))),
+    "s12c_bootstrap_spearman_slices": recursive(cte(PEOPLE, DAYS, "sliced AS (" + " UNION ALL ".join(
+        f"""SELECT '{name}' AS slice, "fullVisitorId", first_channel, purchases FROM person WHERE {keep}"""
+        for name, keep in (("all", "TRUE"), ("observable", SEEN), ("untruncated", UNTRUNCATED), ("multi_session", "sessions >= 2"))) + ")",
+        """mu AS (SELECT slice, "fullVisitorId", channel AS a, 'last' AS b, c.purchases AS n
+  FROM sliced JOIN chan c USING ("fullVisitorId") WHERE c.purchases > 0
+  UNION ALL SELECT slice, "fullVisitorId", first_channel, 'first', purchases FROM sliced WHERE purchases > 0)""",
+        credit_moments("slice, "), spearman_of("pc", "slice, rep"), interval("rho", "rho", "slice, ", verdict=False))),
     "s13_purchase_visit_numbers": cte("""SELECT visit_number, COUNT(*) AS purchases FROM pop WHERE purchase_raw = 1
 GROUP BY visit_number"""),
     "s13b_visits_to_purchase": cte(PEOPLE, """SELECT first_channel, COUNT(*) AS purchases,
@@ -732,12 +829,12 @@ WHERE purchase_raw = 1 GROUP BY first_channel"""),
   COUNT(*) FILTER (WHERE NOT ({SEEN})) AS dropped FROM person"""),
     "s14b_observable_shift": cte(PEOPLE, DAYS, shift_of(SEEN), "SELECT * FROM sh"),
     "s15_left_truncated": cte(PEOPLE, f"""SELECT COUNT(*) AS visitors,
-  COUNT(*) FILTER (WHERE first_visit_number > 1) AS truncated,
-  {pct("COUNT(*) FILTER (WHERE first_visit_number > 1)", "COUNT(*)")} AS pct_truncated FROM person"""),
-    "s15b_untruncated_shift": cte(PEOPLE, shift_of("first_visit_number <= 1"), "SELECT * FROM sh"),
+  COUNT(*) FILTER (WHERE NOT ({UNTRUNCATED})) AS truncated,
+  {pct(f"COUNT(*) FILTER (WHERE NOT ({UNTRUNCATED}))", "COUNT(*)")} AS pct_truncated FROM person"""),
+    "s15b_untruncated_shift": cte(PEOPLE, shift_of(UNTRUNCATED), "SELECT * FROM sh"),
     "s16_multi_session_shift": cte(PEOPLE, shift_of("sessions >= 2"), "SELECT * FROM sh"),
     "s16b_slice_spearman": cte(PEOPLE, DAYS,
-        *[shift_of(keep, str(i)) for i, keep in enumerate(("TRUE", SEEN, "first_visit_number <= 1", "sessions >= 2"))],
+        *[shift_of(keep, str(i)) for i, keep in enumerate(("TRUE", SEEN, UNTRUNCATED, "sessions >= 2"))],
         stacked(["all", "observable", "untruncated", "multi_session"], "slice"), spearman_of("shifts", "slice"),
         "SELECT slice, n, ROUND(rho, 9) AS rho FROM rho"),
     "s17_sensitivity_v": cte(SENSITIVITY, f"f AS (SELECT variant, channel, {COUNTS} FROM sp GROUP BY variant, channel)",
@@ -747,15 +844,12 @@ WHERE purchase_raw = 1 GROUP BY first_channel"""),
     "s17c_sensitivity_shift": cte(*SENSITIVE_SHIFTS, "SELECT * FROM shifts"),
     "s17d_sensitivity_spearman": cte(*SENSITIVE_SHIFTS, spearman_of("shifts", "variant"),
         "SELECT variant, n, ROUND(rho, 9) AS rho FROM rho"),
-    "s17e_sensitivity_bootstrap": cte(SENSITIVITY, reach_draws("sp", "channel", "variant, "),
+    **{name: wrap(cte(SENSITIVITY, draws("sp", "channel", "variant, "),
         chi_of("rc", "variant, rep, step", "entered", "passed"),
         V_DIFFS.replace("SELECT rep", "SELECT variant, rep").replace("GROUP BY rep", "GROUP BY variant, rep"),
-        interval("vs", "diff", "variant, ")),
-    "s18_referral_two_ways": cte("""rf AS (SELECT *, GREATEST(view_raw, cart_raw, checkout_raw, purchase_raw) AS view_m,
-  GREATEST(cart_raw, checkout_raw, purchase_raw) AS cart_m, GREATEST(checkout_raw, purchase_raw) AS checkout_m,
-  purchase_raw AS purchase_m, view_raw AS view_s, view_raw * cart_raw AS cart_s,
-  view_raw * cart_raw * checkout_raw AS checkout_s, view_raw * cart_raw * checkout_raw * purchase_raw AS purchase_s
-  FROM sess WHERE channel = 'Referral')""", f"""SELECT 'with_internal' AS variant, {COUNTS} FROM rf
+        interval("vs", "diff", "variant, "))) for name, draws, wrap in (
+            ("s17e_sensitivity_bootstrap", reach_draws, str), ("s17f_sensitivity_bootstrap_moments", reach_moments, recursive))},
+    "s18_referral_two_ways": cte("""rf AS (SELECT * FROM flagged WHERE channel = 'Referral')""", f"""SELECT 'with_internal' AS variant, {COUNTS} FROM rf
 UNION ALL SELECT 'without_internal', {COUNTS} FROM rf WHERE source NOT LIKE '%.google.com'"""),
     "s19_testable_cells": cte(CHANNEL_FUNNEL, long_of("channel"), """SELECT version, channel, step, prev_n,
   prev_n >= 100 AS tested FROM l WHERE channel <> 'ALL'"""),

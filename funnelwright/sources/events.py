@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bloom import bloom_filter, might_hold
 from ..functions.rules import ACTION_CODES, RAW_FLAGS
 
 VISIT_PAUSE = "INTERVAL '12' HOUR"
@@ -214,17 +215,28 @@ def _visit_of_cells(stamped: DataFrame) -> DataFrame:
     )
 
 
-def hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) -> DataFrame:
+def hits_from_events(
+    events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS, visits: DataFrame | None = None, filter_words: int = 64
+) -> DataFrame:
     """Hit facts (see `operators.sessions.hit_facts`), one per event.
 
     The only join is events to their own cells, by the cell key; the numbering
     inside a cell reuses its partitioning, and the position of the cell in the
     visit comes from the cells.
+
+    With `visits` (fullVisitorId, visitId), only their hits: a Bloom filter of
+    the visitors leaves the other events in the scan's stage, and the visits
+    are then joined exactly, before a hit is numbered.
     """
     stamped = _stamped(events, slot_seconds)
+    if visits is not None:
+        stamped = stamped.where(might_hold(bloom_filter(visits, "fullVisitorId", filter_words), F.col("fullVisitorId")))
+    cells = _visit_of_cells(stamped)
+    if visits is not None:
+        cells = cells.join(visits.select(*ROW_KEY[:2]), ROW_KEY[:2], "left_semi")
     in_cell = Window.partitionBy(*CELL_KEY).orderBy("ts", "event_id")
     return (
-        stamped.join(_visit_of_cells(stamped), CELL_KEY)
+        stamped.join(cells, CELL_KEY)
         .withColumn("hitNumber", (F.col("hits_before") + F.row_number().over(in_cell)).cast("bigint"))
         .select(
             *ROW_KEY[:2],
@@ -239,17 +251,23 @@ def hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) ->
     )
 
 
-def transaction_hits_from_events(events: DataFrame, slot_seconds: int = HIT_SLOT_SECONDS) -> DataFrame:
-    """The hits that carry a transaction, without hit numbers.
+def transaction_sessions_from_events(events: DataFrame, slot_seconds: int = ROW_SLOT_SECONDS) -> DataFrame:
+    """One line per visit with a purchase: its transaction id, hits with it, hits with revenue, and their sum.
 
-    Visits are found on all events, but only purchases enter the join.
+    Purchases are summed in the cells that find the visits, so there is one scan and no join.
     """
-    stamped = _stamped(events, slot_seconds)
-    return (
-        stamped.where("is_purchase")
-        .join(_visit_of_cells(stamped), CELL_KEY)
-        .select(*ROW_KEY[:2], F.col("date").cast("string").alias("date"), _tx_id().alias("tx_id"), "tx_revenue")
+    cells = _stamped(events, slot_seconds).groupBy(*CELL_KEY).agg(
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.min("event_id").alias("first_id"),
+        F.count_if("is_purchase").alias("hit_rows"),
+        F.count("tx_revenue").alias("rev_hits"),
+        F.sum("tx_revenue").alias("revenue"),
+    )
+    visits = _numbered_cells(cells).groupBy("fullVisitorId", "visit_ord").agg(
+        F.min("first_id").alias("visitId"), *[F.sum(c).alias(c) for c in ("hit_rows", "rev_hits", "revenue")]
     )
+    return visits.where("hit_rows > 0").select(_tx_id().alias("tx_id"), *ROW_KEY[:2], "hit_rows", "rev_hits", "revenue")
 
 
 def _tx_id() -> Column:

@@ -28,6 +28,28 @@ def write_sessions(nested: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed_sessions(nested: DataFrame, table: str, path: str, buckets: int) -> None:
+    """Store nested session rows as the catalog table `table`, by day and in buckets of visitors.
+
+    All rows of a visitor lie in one bucket of each day, so whatever is grouped by visit or visitor is read as it lies,
+    without an exchange. Each task writes one bucket; a bucket is as big as its busiest visitor at least.
+    """
+    (
+        nested.repartition(buckets, "fullVisitorId")
+        .write.mode("overwrite")
+        .partitionBy("date")
+        .bucketBy(buckets, "fullVisitorId")
+        .sortBy("fullVisitorId", "visitId")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+
+
+def read_bucketed_sessions(spark: SparkSession, table: str, start: str, end: str) -> DataFrame:
+    """Session rows of the days `start`..`end` of a bucketed table."""
+    return spark.table(table).where(F.col("date").between(start, end))
+
+
 def read_sessions(
     spark: SparkSession, path: str, start: str, end: str, schema: str = RAW_SESSION
 ) -> DataFrame:
@@ -82,3 +104,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "funnelwright")
     return "/".join([base.rstrip("/"), "funnelwright", context.applicationId, f"{name}-{os.urandom(4).hex()}"])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: computed once, however often it is read, and safe from lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,23 +42,23 @@ def by_step(rows, value, **where):
 
 
 def test_device_gap_and_ratio(device):
-    rows = me.gap(me.to_long(device, "device"), "device", "desktop", "mobile").collect()
+    rows = me.gap(me.step_lines(device, "device"), "device", "desktop", "mobile").collect()
     assert [round(x, 2) for x in by_step(rows, "gap_pp", version="mono")] == [2.25, 10.14, 15.06, 22.67]
     assert [round(x, 2) for x in by_step(rows, "gap_pp", version="strict")] == [2.04, 10.27, 15.31, 21.92]
     assert [round(x, 2) for x in by_step(rows, "ratio", version="mono")] == [1.17, 1.31, 1.50, 1.71]
-    ends = me.gap_extremes(me.gap(me.to_long(device, "device"), "device", "desktop", "mobile")).collect()
+    ends = me.gap_extremes(me.gap(me.step_lines(device, "device"), "device", "desktop", "mobile")).collect()
     assert {(r.largest_step, r.smallest_step) for r in ends} == {("purchase", "viewed")}
 
 
 def test_returning_gap(spark):
     funnel = spark.createDataFrame(BY_VISITOR, ["visitor_type", *FUNNEL[:5]])
-    long = me.to_long(funnel, "visitor_type", ["mono"])
+    long = me.step_lines(funnel, "visitor_type", ["mono"])
     rows = me.gap(long, "visitor_type", "returning", "new").collect()
     assert [round(x, 2) for x in by_step(rows, "gap_pp")] == [10.87, 15.06, 17.80, 17.48]
 
 
 def test_spread(channel):
-    rows = [r for r in me.spread(me.to_long(channel, "channel"), "channel").collect() if r.version == "mono"]
+    rows = [r for r in me.spread(me.step_lines(channel, "channel"), "channel").collect() if r.version == "mono"]
     assert [round(x, 1) for x in by_step(rows, "spread_pp")] == [30.4, 18.5, 41.4, 58.5]
     assert [round(x, 1) for x in by_step(rows, "overall_spread_pp")] == [30.4, 15.9, 9.5, 6.3]
     assert [round(x) for x in by_step(rows, "overall_max_over_min")] == [14, 23, 63, 232]
@@ -68,13 +68,13 @@ def test_entry_loss_and_waterfall(channel):
     loss = {r["sample"]: r for r in me.entry_loss_excluding(channel, "channel", "Social").collect()}
     assert (loss["all"].sessions, round(loss["all"].pct_lost, 1)) == (879171, 85.2)
     assert (loss["without"].sessions, round(loss["without"].pct_lost, 1)) == (654749, 80.9)
-    rows = me.loss_waterfall(me.to_long(channel, "channel"), "channel").where("version = 'mono'").collect()
+    rows = me.loss_waterfall(me.step_lines(channel, "channel"), "channel").where("version = 'mono'").collect()
     lost = by_step(rows, "lost")
     assert lost[0] == 879171 - 130006 and sum(lost) == 879171 - 11398
 
 
 def test_versions(channel):
-    long = me.to_long(channel, "channel")
+    long = me.step_lines(channel, "channel")
     assert me.check_monotone(long, "channel").first().violations == 0
     row = me.version_gap(long, "channel").where("channel = 'ALL' AND step = 'purchase'").first()
     assert (row.mono, row.strict, row.difference) == (11398, 9078, 2320)
@@ -173,7 +173,7 @@ def test_missing_steps(spark):
 
 
 def test_chi_square_on_published_funnel(channel):
-    rows = st.chi_square(me.to_long(channel, "channel"), "channel").collect()
+    rows = st.chi_square(me.step_lines(channel, "channel"), "channel").collect()
     assert [round(x, 2) for x in by_step(rows, "chi2", version="mono")] == [52306.64, 2028.91, 2483.31, 1221.05]
     assert [round(x, 4) for x in by_step(rows, "cramers_v", version="mono")] == [0.2439, 0.1249, 0.2179, 0.2354]
     assert [round(x, 4) for x in by_step(rows, "cramers_v", version="strict")] == [0.2363, 0.1228, 0.2146, 0.2369]
@@ -181,7 +181,7 @@ def test_chi_square_on_published_funnel(channel):
 
 
 def test_z_test_on_published_variants(variants):
-    long = me.to_long(variants, "device", by=["variant"])
+    long = me.step_lines(variants, "device", by=["variant"])
     rows = st.z_test(long, "device", "desktop", "mobile", by=["variant"]).collect()
     assert [round(x, 2) for x in by_step(rows, "z", version="mono", variant="all")] == [25.05, 30.24, 26.09, 21.95]
     hidden = by_step(rows, "z", version="mono", variant="no_hidden_referral")
