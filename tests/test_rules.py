@@ -23,7 +23,7 @@ def row(visitor, visit, date, hits, channel="Direct", source="google", medium="o
     n = None if hits is None else len(hits)
     return (
         visitor, visit, date, number, channel, (source, medium, true_direct, path), (device,), (country, network),
-        (n, n, None, revenue, new), hits,
+        (n, n, None, revenue, new), hits, None,
     )
 
 
