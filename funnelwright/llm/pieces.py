@@ -8,7 +8,9 @@ unit's number, modulo `VARIANTS`, so a word is cut in varied ways across and wit
 computed once per batch of work.
 
 A unit is a run of blanks with the word behind it: pieces of such a model never hold a blank after another character, so
-no merge crosses a unit. Units of equal length are worked on together in arrays, one merge each per round.
+no merge crosses a unit. The symbols of a unit are a linked list that keeps its places, so a merge touches its two
+neighbours and moves nothing. Many units of one length take their merges side by side in arrays, one each per round; a
+long unit, or one of a rare length, has a heap for its agenda. Both follow the same order and the same keyed hash.
 
 Characters that the model does not know become byte pieces; so does its blank sign when it stands in a text, which is why
 decoding gives back exactly the text that was encoded, with or without dropout. The text is taken as it is: the model must
@@ -21,9 +23,12 @@ Added columns take a leading underscore where the input already has their name.
 
 from __future__ import annotations
 
+import heapq
 import re
+import sys
 from collections.abc import Iterator
 from functools import cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,20 @@ CACHED = 150_000
 SIGN = "▁"
 _UNITS = re.compile(r" *[^ ]+| +$")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+# Units of one length that are worth rounds in arrays, the longest such length, and array cells worked on at a time.
+TOGETHER, ROUNDS, CELLS = 16, 64, 1 << 18
+_GONE, _FREE = -2, -2
+# A turn on the agenda: rank, then place in the low bits.
+_PLACES, _NEVER = 21, np.iinfo(np.int64).max
+
+
+def _mixed(x: int) -> int:
+    """`mix` of one number."""
+    full = (1 << 64) - 1
+    x &= full
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+    return x ^ x >> 31
 
 
 class PieceModel:
@@ -67,9 +86,12 @@ class PieceModel:
                 if left is not None and right is not None:
                     keys.append(left * n + right)
                     results.append(i)
-        order = np.argsort(keys)
         self.size = n
-        self.keys, self.results = np.array(keys, np.int64)[order], np.array(results, np.int32)[order]
+        self.pairs = dict(zip(keys, results, strict=True))
+        self._fill(np.array(list(self.pairs), np.int64), np.array(list(self.pairs.values()), np.int32))
+        # A literal sign must not pass for a blank: it is unknown here, and goes out as bytes.
+        self.of_code = np.full(sys.maxunicode + 1, -1, np.int32)
+        self.of_code[[ord(c) for c in self.symbols if c != SIGN]] = [i for c, i in self.symbols.items() if c != SIGN]
         # Rank of a piece: 0 is merged first. Scores of BPE models fall from piece to piece.
         scores = np.array([model.get_score(i) for i in range(n)])
         self.rank = np.searchsorted(np.sort(-scores), -scores).astype(np.int32)
@@ -81,105 +103,172 @@ class PieceModel:
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Piece that two neighbours make, or -1."""
         wanted = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) * self.size + right)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, self.results[at], -1)
+        slot = self._slot(wanted)
+        there = self.table[slot]
+        out = np.where(there == wanted, self.made[slot], -1)
+        open_ = np.flatnonzero((there != wanted) & (there != _FREE))
+        while len(open_):
+            slot = (slot if len(slot) == len(open_) else slot[open_]) + 1 & len(self.table) - 1
+            own = wanted[open_]
+            there = self.table[slot]
+            out[open_] = np.where(there == own, self.made[slot], -1)
+            more = (there != own) & (there != _FREE)
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * _MUL >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
 
-    def cut(self, units: list[str], variants: np.ndarray, seed: int, rate: float) -> list[np.ndarray]:
-        """Ids of each unit under its variant."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+    def _fill(self, pairs: np.ndarray, results: np.ndarray) -> None:
+        """Hash table of the merges with open addresses, a quarter full at most."""
+        self.table = np.full(1 << (4 * len(pairs) + 4).bit_length(), _FREE, np.int64)
+        self.made = np.full(len(self.table), -1, np.int32)
+        slot = self._slot(pairs)
+        while len(pairs):
+            free = np.flatnonzero(self.table[slot] == _FREE)
+            _, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.table[slot[taken]], self.made[slot[taken]] = pairs[taken], results[taken]
+            rest = np.ones(len(pairs), bool)
+            rest[taken] = False
+            pairs, results, slot = pairs[rest], results[rest], slot[rest] + 1 & len(self.table) - 1
+
+    def cut(self, units: list[str], variants: np.ndarray, seed: int, rate: float) -> list[bytes]:
+        """Ids of each unit under its variant, 4 bytes each."""
+        out = [b""] * len(units)
         lengths = np.array([len(u) for u in units])
-        for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            step = max(1, (1 << 18) // int(length))
+        order = np.argsort(lengths, kind="stable")
+        limit = np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1)) if rate < 1 else np.uint64(2**64 - 1)
+        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            length = int(lengths[rows[0]]) if len(rows) else 0
+            step = max(1, CELLS // max(length, 1))
             for low in range(0, len(rows), step):
                 part = rows[low : low + step]
-                for i, ids in zip(part.tolist(), self._cut([units[i] for i in part], variants[part], int(length), seed, rate), strict=True):
-                    out[i] = ids
+                own = [units[i] for i in part.tolist()]
+                codes = np.ascontiguousarray(np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), length).T)
+                unit_key = mix(variants[part].astype(np.uint64) * _MUL + np.uint64(seed))
+                for i in range(length):
+                    unit_key = mix(unit_key ^ codes[i].astype(np.uint64))
+                ids = self.of_code[codes]
+                if len(own) >= TOGETHER and length <= ROUNDS:
+                    ids = self._rounds(ids, unit_key, limit, rate > 0)
+                else:
+                    ids = np.stack([self._agenda(ids[:, i], unit_key[i], limit, rate > 0) for i in range(len(own))], axis=1)
+                for i, found in zip(part.tolist(), self._packed(own, ids.T), strict=True):
+                    out[i] = found
         return out
 
-    def _cut(self, units: list[str], variants: np.ndarray, length: int, seed: int, rate: float) -> list[np.ndarray]:
-        n = len(units)
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(n, length)
-        known, inverse = np.unique(codes, return_inverse=True)
-        # A literal sign must not pass for a blank: it is unknown here, and goes out as bytes.
-        of = [self.symbols.get(chr(c), -1) if chr(c) != SIGN else -1 for c in known.tolist()]
-        ids = np.array(of, np.int32)[inverse].reshape(n, length)
-        unit_key = mix(variants.astype(np.uint64) * _MUL + np.uint64(seed))
-        for i in range(length):
-            unit_key = mix(unit_key ^ codes[:, i].astype(np.uint64))
-        start = np.tile(np.arange(length + 1, dtype=np.int32), (n, 1))
-        count = np.full(n, length)
-        limit = np.uint64(min(max(rate, 0.0), 1.0) * (2**64 - 1)) if rate < 1 else np.uint64(2**64 - 1)
+    def _packed(self, units: list[str], ids: np.ndarray) -> list[bytes]:
+        """Ids that are left of each unit; characters without a piece become bytes."""
+        left = ids != _GONE
+        flat = ids[left].astype(np.int32).tobytes()
+        ends = np.cumsum(4 * left.sum(axis=1)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero((ids == -1).any(axis=1)).tolist():
+            found: list[int] = []
+            for place, x in enumerate(ids[i].tolist()):
+                if x != _GONE:
+                    found += [x] if x >= 0 else [self.byte_ids[b] for b in units[i][place].encode()]
+            out[i] = np.array(found, np.int32).tobytes()
+        return out
+
+    def _candidates(
+        self, a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray, unit_key: np.ndarray, limit: np.uint64, drop: bool
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Piece of merging symbols a and b, which start at left and right and end at end, and its place on the agenda."""
+        piece = self.merged(a, b)
+        turn = np.where(piece >= 0, (self.rank[piece].astype(np.int64) << _PLACES) | left, _NEVER)
+        if drop:
+            some = np.flatnonzero(piece >= 0)
+            place = (left[some].astype(np.uint64) << np.uint64(42)) | (right[some].astype(np.uint64) << np.uint64(21)) | end[some].astype(np.uint64)
+            turn[some[mix(unit_key[some] ^ mix(place)) < limit]] = _NEVER
+        return piece, turn
 
-        def candidates(rows: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Result and rank of merging symbols left and left + 1; rank is large if there is no merge or it is skipped."""
-            right = left + 1
-            inside = (left >= 0) & (right < count[rows])
-            a, b = np.where(inside, left, 0), np.where(inside, right, 0)
-            piece = np.where(inside, self.merged(ids[rows, a], ids[rows, b]), -1)
-            rank = np.where(piece >= 0, self.rank[piece], np.iinfo(np.int32).max)
-            if rate > 0:
-                place = (start[rows, a].astype(np.uint64) << np.uint64(42)) | (start[rows, b].astype(np.uint64) << np.uint64(21)) | start[rows, b + 1].astype(np.uint64)
-                rank[(piece >= 0) & (mix(unit_key[rows] ^ mix(place)) < limit)] = np.iinfo(np.int32).max
-            return piece, rank
-
-        width = max(1, length - 1)
-        pieces, ranks = np.full((n, width), -1, np.int32), np.full((n, width), np.iinfo(np.int32).max, np.int32)
-        every = np.arange(n)
+    def _rounds(self, ids: np.ndarray, unit_key: np.ndarray, limit: np.uint64, drop: bool) -> np.ndarray:
+        """Merges of units of one length, a column each: every round takes the next merge of each unit that has one."""
+        length, n = ids.shape
+        done, column = ids.copy(), np.arange(n)
+        places = np.arange(length + 1, dtype=np.int64)[:, None]
+        following, before = np.repeat(places[1:], n, axis=1), np.repeat(places - 1, n, axis=1)
+        made, turn = np.full((length, n), -1, np.int32), np.full((length, n), _NEVER, np.int64)
         for i in range(length - 1):
-            pieces[:, i], ranks[:, i] = candidates(every, np.full(n, i))
-        active = every
-        columns = np.arange(length + 1)
-        while len(active):
-            best = ranks[active].argmin(axis=1)
-            go = ranks[active, best] < np.iinfo(np.int32).max
-            active, best = active[go], best[go]
-            if not len(active):
+            at = np.full(n, i)
+            made[i], turn[i] = self._candidates(ids[i], ids[i + 1], at, at + 1, at + 2, unit_key, limit, drop)
+        while True:
+            best = turn.min(axis=0)
+            go = np.flatnonzero(best != _NEVER)
+            if 4 * len(go) < 3 * len(best):
+                done[:, column] = ids
+                column, unit_key, best = column[go], unit_key[go], best[go]
+                ids, following, before, made, turn = (x[:, go] for x in (ids, following, before, made, turn))
+                go = np.arange(len(go))
+            if not len(go):
                 break
-            ids[active, best] = pieces[active, best]
-            # Drop symbol best + 1: what lies behind moves one to the left.
-            source = columns[None, :] + (columns[None, :] > best[:, None])
-            source = np.minimum(source, length)
-            ids[active] = np.take_along_axis(ids[active], np.minimum(source[:, :length], length - 1), axis=1)
-            start[active] = np.take_along_axis(start[active], source, axis=1)
-            behind = np.minimum(columns[None, :width] + (columns[None, :width] > best[:, None]), width - 1)
-            pieces[active] = np.take_along_axis(pieces[active], behind, axis=1)
-            ranks[active] = np.take_along_axis(ranks[active], behind, axis=1)
-            count[active] -= 1
-            ranks[active, np.minimum(count[active] - 1, width - 1)] = np.iinfo(np.int32).max
-            for at in (best - 1, best):
-                right = at >= 0
-                rows, place = active[right], at[right]
-                piece, rank = candidates(rows, place)
-                inside = place < width
-                pieces[rows[inside], place[inside]] = piece[inside]
-                ranks[rows[inside], place[inside]] = rank[inside]
-        out = []
-        whole = (ids >= 0).all(axis=1)
-        for i in range(n):
-            own = ids[i, : count[i]]
-            if not whole[i]:
-                found: list[int] = []
-                for j, x in enumerate(own.tolist()):
-                    found += [x] if x >= 0 else [self.byte_ids[b] for b in units[i][start[i, j] : start[i, j + 1]].encode()]
-                own = np.array(found, np.int32)
-            out.append(own.astype(np.int32))
-        return out
+            at = best[go] & (1 << _PLACES) - 1
+            right = following[at, go]
+            end = following[right, go]
+            piece = made[at, go]
+            ids[at, go], ids[right, go] = piece, _GONE
+            following[at, go], before[end, go] = end, at
+            turn[right, go] = _NEVER
+            left = before[at, go]
+            some = np.flatnonzero(left >= 0)
+            own, l = go[some], left[some]
+            made[l, own], turn[l, own] = self._candidates(ids[l, own], piece[some], l, at[some], end[some], unit_key[own], limit, drop)
+            turn[at, go] = _NEVER
+            some = np.flatnonzero(end < length)
+            own, a, e = go[some], at[some], end[some]
+            made[a, own], turn[a, own] = self._candidates(piece[some], ids[e, own], a, e, following[e, own], unit_key[own], limit, drop)
+        done[:, column] = ids
+        return done
+
+    def _agenda(self, symbols: np.ndarray, unit_key: np.uint64, limit: np.uint64, drop: bool) -> np.ndarray:
+        """Merges of one unit by a heap: work follows the number of merges, however long the unit."""
+        n = len(symbols)
+        at = np.arange(n, dtype=np.int64)
+        piece, turn = self._candidates(symbols[:-1], symbols[1:], at[:-1], at[:-1] + 1, at[:-1] + 2, np.full(max(n - 1, 0), unit_key), limit, drop)
+        some = np.flatnonzero(turn != _NEVER).tolist()
+        # A symbol that is merged or grown has another end: an entry counts while both of its symbols are as they were.
+        heap = [(int(self.rank[piece[i]]), i, i + 1, i + 2, int(piece[i])) for i in some]
+        heapq.heapify(heap)
+        ids, following, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n))
+        key, bar = int(unit_key), int(limit)
+
+        def propose(left: int, right: int, end: int) -> None:
+            if ids[left] < 0 or ids[right] < 0:
+                return
+            found = self.pairs.get(ids[left] * self.size + ids[right])
+            if found is not None and not (drop and _mixed(key ^ _mixed(left << 42 | right << 21 | end)) < bar):
+                heapq.heappush(heap, (int(self.rank[found]), left, right, end, found))
+
+        while heap:
+            _, left, right, end, found = heapq.heappop(heap)
+            if ids[left] == _GONE or following[left] != right or ids[right] == _GONE or following[right] != end:
+                continue
+            ids[left], ids[right] = found, _GONE
+            following[left], before[end] = end, left
+            if before[left] >= 0:
+                propose(before[left], left, end)
+            if end < n:
+                propose(left, end, following[end])
+        return np.array(ids, np.int32)
 
     def encode(self, texts: list[str | None], keys: np.ndarray, seed: int, rate: float, variants: int) -> list[np.ndarray | None]:
         """Ids of each text; keys: an unsigned 64-bit number for each."""
-        split = [None if t is None else _UNITS.findall(" " + t) if t else [] for t in texts]
-        drawn = [
-            [] if not s else (mix(mix(np.arange(len(s), dtype=np.uint64) * _MUL + np.uint64(seed)) ^ keys[i]) % np.uint64(variants if rate > 0 else 1)).tolist()
-            for i, s in enumerate(split)
-        ]
-        wanted = set()
-        for s, v in zip(split, drawn, strict=True):
-            if s:
-                wanted.update(zip(v, s, strict=True))
         if len(self.held[0]) > CACHED:
             self.held = [{}, self.held[0]]
         now, before = self.held
+        texts_units: list[list[str] | None] = []
+        wanted: set[str] = set()
+        for i, text in enumerate(texts):
+            own = None
+            if text is not None:
+                own = _UNITS.findall(" " + text) if text else []
+                drawn = mix(mix(np.arange(len(own), dtype=np.uint64) * _MUL + np.uint64(seed)) ^ keys[i]) % np.uint64(variants if rate > 0 else 1)
+                # A variant goes before its unit as one character: a string is hashed once, a pair each time.
+                own = list(map(add, map(chr, drawn.tolist()), own))
+                wanted.update(own)
+            texts_units.append(own)
         missing = []
         for x in wanted.difference(now):
             known = before.get(x)
@@ -188,11 +277,9 @@ class PieceModel:
             else:
                 now[x] = known
         if missing:
-            found = self.cut([u for _, u in missing], np.array([v for v, _ in missing]), seed, rate)
-            now.update((x, ids.tobytes()) for x, ids in zip(missing, found, strict=True))
-        return [
-            None if s is None else np.frombuffer(b"".join(map(now.__getitem__, zip(v, s, strict=True))), np.int32) for s, v in zip(split, drawn, strict=True)
-        ]
+            found = self.cut([x[1:] for x in missing], np.array([ord(x[0]) for x in missing]), seed, rate)
+            now.update(zip(missing, found, strict=True))
+        return [None if own is None else np.frombuffer(b"".join(map(now.__getitem__, own)), np.int32) for own in texts_units]
 
     def decode(self, ids: list[int]) -> str:
         """The text, without the blank that encoding puts before it."""
@@ -215,8 +302,8 @@ def encode(
     variants: int = VARIANTS,
 ) -> DataFrame:
     """df plus ids: array<int>, the pieces of the whole text."""
-    if not 0 <= rate <= 1 or variants < 1:
-        raise ValueError("a rate from 0 to 1 and one variant at least")
+    if not 0 <= rate <= 1 or not 1 <= variants <= sys.maxunicode:
+        raise ValueError("a rate from 0 to 1, and variants from 1 to the number of characters")
 
     @F.arrow_udf("array<int>")
     def pieces_of(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

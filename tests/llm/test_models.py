@@ -73,12 +73,35 @@ def _agenda(own, unit, variant, seed, rate):
         parts[i : i + 2] = [(parts[i][0], parts[i + 1][1], piece)]
 
 
-def test_array_rounds_equal_the_agenda():
+@pytest.mark.parametrize("together", [1, 1000])
+def test_rounds_and_heap_equal_the_agenda(monkeypatch, together):
     own = pieces.PieceModel(PIECES)
-    units = [" " + w for w in "international the segmentation unbelievable a of mississippi zzzzzz".split()]
+    monkeypatch.setattr(pieces, "TOGETHER", together)
+    units = [" " + w for w in "international the segmentation unbelievable a of mississippi zzzzzz ineffable".split()]
     for variant in range(4):
         got = own.cut(units, np.full(len(units), variant), 3, 0.3)
-        assert [x.tolist() for x in got] == [_agenda(own, w, variant, 3, 0.3) for w in units]
+        assert [np.frombuffer(x, np.int32).tolist() for x in got] == [_agenda(own, w, variant, 3, 0.3) for w in units]
+
+
+def test_a_unit_without_end_is_cut_by_the_heap():
+    from sentencepiece import SentencePieceProcessor
+
+    own, text = pieces.PieceModel(PIECES), "internationalsegmentation" * 4000
+    plain = own.encode([text], np.zeros(1, np.uint64), 1, 0.0, 1)[0]
+    assert plain.tolist() == SentencePieceProcessor(model_file=PIECES).encode(text)
+    cut = own.encode([text], np.zeros(1, np.uint64), 1, 0.1, 8)[0]
+    assert own.decode(cut.tolist()) == text and len(cut) > len(plain)
+
+
+def test_merge_table_finds_every_merge_and_no_other():
+    own = pieces.PieceModel(PIECES)
+    pairs = np.array(list(own.pairs), np.int64)
+    left, right = (x.astype(np.int32) for x in np.divmod(pairs, own.size))
+    assert own.merged(left, right).tolist() == list(own.pairs.values())
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(-2, own.size, (2, 20_000)).astype(np.int32)
+    expected = [own.pairs.get(a * own.size + b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(left.tolist(), right.tolist())]
+    assert own.merged(left, right).tolist() == expected
 
 
 def test_encoding_on_edge_rows(edge, empty):
