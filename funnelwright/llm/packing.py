@@ -24,10 +24,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, releasing, stored
+from .common import bounded_batches, releasing, slices, stored
 from .tokens import word_tokenizer
 
 LENGTH = 4096
@@ -41,21 +42,23 @@ _STATE = "instance long, island int, uids binary, lengths binary, packings binar
 
 @releasing
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = word_tokenizer(tokenizer).encode
+    encode = word_tokenizer(tokenizer).encode_all
     closing = CLOSING.to_bytes(4, "little")
     for batch in batches:
         row, number, start, length, crc, tokens = [], [], [], [], [], []
-        for i, text in enumerate(batch.column("text")):
-            ids = encode(text.as_py() or "") + closing
-            for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                part = ids[at : at + 4 * size]
-                row.append(i)
-                number.append(piece)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                if with_ids:
-                    tokens.append(part)
+        texts = batch.column("text")
+        for low, high in slices(texts):
+            for i, found in enumerate(encode(pc.fill_null(texts.slice(low, high - low), "").to_pylist()), low):
+                ids = found + closing
+                for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                    part = ids[at : at + 4 * size]
+                    row.append(i)
+                    number.append(piece)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        tokens.append(part)
         columns = [batch.column("id").take(pa.array(row, pa.int32())), pa.array(number, pa.int32())]
         columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
         names = ["id", "piece", "start", "length", "ids_crc32"]

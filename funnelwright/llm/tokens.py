@@ -23,17 +23,24 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        upper = "".join(map(chr, range(65, 91)))
+        normalizer = self.tokenizer.normalizer
+        self.lower = normalizer is not None and normalizer.normalize_str(upper) == upper.lower()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """`encode` of each text; what is new in any of them goes to the tokenizer together."""
+        # The tokenizer may ignore case: then words of ASCII letters are one entry in lower case.
+        split = [(x.lower() if self.lower and text.isascii() else x).split() for text in texts for x in (text.encode(),)]
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
-        wanted = set(words).difference(self.new)
         missing = []
-        for word in wanted:
+        for word in set().union(*split).difference(self.new):
             known = self.old.get(word)
             if known is None:
                 missing.append(word)
@@ -41,14 +48,14 @@ class WordTokenizer:
                 self.new[word] = known
         for low in range(0, len(missing), 4096):
             # Many words are encoded as one text; offsets tell which ids are whose.
-            part = [w.decode() for w in missing[low : low + 4096]]
+            part = b" ".join(missing[low : low + 4096]).decode().split(" ")
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            at = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.offsets))
             cuts = (4 * np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in part]))).tolist()
             for word, first, last in zip(missing[low : low + 4096], cuts, cuts[1:]):
                 self.new[word] = ids[first:last]
-        return b"".join(map(self.new.__getitem__, words))
+        return [b"".join(map(self.new.__getitem__, words)) for words in split]
 
 
 @cache
