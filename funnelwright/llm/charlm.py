@@ -1,9 +1,13 @@
 """Smoothed character models of several classes, counted by Spark and kept in sorted hash arrays.
 
-A gram is five symbols of 12 bits in one long, so contexts and suffixes are shifts and masks in SQL. Tasks count the
-grams of their rows class by class in bounded arrays and send sums; all further statistics (continuation counts, counts
-of counts, context totals) are aggregations. The model is bounded by `ENTRIES` grams over all classes and orders: per
-class and order the rarest grams are left out by count, so it can be broadcast at any size of corpus.
+A gram is five symbols of 12 bits in one long, so contexts and suffixes are shifts and masks in SQL. Symbols are fitted:
+the 4,093 most frequent characters of the learning rows have one each, all rarer and unseen ones share `RARE`. Tasks
+count the grams of their rows class by class in bounded arrays and send sums; all further statistics (continuation
+counts, counts of counts, context totals) are aggregations over all of them.
+
+The model is bounded by `entries` grams over all classes and orders, so it can be broadcast at any size of corpus: per
+class and order the rarest grams are left out by count, and what they held goes to the back-off weight of their context,
+so that probabilities still sum to one. `entries=None` keeps every gram; then the model grows with the corpus.
 
 Model: for each order one array of sorted hashes with a row of log-probabilities, one per class, and the same for back-off
 weights of contexts. Probabilities of an order are interpolated with the next lower one; unknown grams back off.
@@ -12,12 +16,13 @@ weights of contexts. Probabilities of an order are interpolated with the next lo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, releasing, slices, stored
@@ -30,36 +35,76 @@ ENTRIES = 1 << 21
 HELD = 1 << 19
 # Scored at a time: a few arrays of eight bytes a character and class.
 _SCORED_BYTES = 1 << 18
-BLANK = 1
+BLANK, RARE = 1, 2
+_POINTS = 0x110000
 _COUNTS = "class string, gram long, c long"
 
 
 @cache
-def symbols(kind: str) -> np.ndarray:
-    """Symbol of each code point. `letters`: small letters, all else is one blank. `url`: small letters, one digit, signs."""
-    points = np.arange(0x110000, dtype=np.uint32)
-    out = np.full(0x110000, BLANK, np.uint16)
-    plain = np.ones(0x110000, bool)
-    plain[0xD800:0xE000] = False
-    chars = points[plain].tobytes().decode("utf-32-le")
+def _plain(kind: str) -> np.ndarray:
+    """The character each code point stands for. `letters`: small letters, all else is BLANK. `url`: small letters, one digit, signs."""
+    points = np.arange(_POINTS, dtype=np.uint32)
+    out = np.full(_POINTS, BLANK, np.uint32)
+    whole = np.ones(_POINTS, bool)
+    whole[0xD800:0xE000] = False
+    chars = points[whole].tobytes().decode("utf-32-le")
     small = np.array([ord(c.lower()[0]) for c in chars], np.uint32)
     if kind == "letters":
         wanted = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
     else:
         wanted = np.ones(len(chars), bool)
         small[np.fromiter((c.isdigit() for c in chars), bool, len(chars))] = ord("0")
-    out[points[plain][wanted]] = (2 + small[wanted] % (SYMBOLS - 2)).astype(np.uint16)
+    out[points[whole][wanted]] = small[wanted]
     return out
 
 
-def grams(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Alphabet:
+    """Characters with a symbol of their own, the most frequent first."""
+
+    kind: str
+    points: tuple[int, ...] = ()
+
+
+@cache
+def _symbols(alphabet: Alphabet) -> np.ndarray:
+    """Symbol of each code point."""
+    of = np.full(_POINTS, RARE, np.uint16)
+    of[list(alphabet.points)] = np.arange(RARE + 1, RARE + 1 + len(alphabet.points))
+    of[BLANK] = BLANK
+    return of[_plain(alphabet.kind)]
+
+
+def _codes(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+
+
+@releasing
+def _characters(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(_POINTS, np.int64)
+    for batch in batches:
+        for low, high in slices(batch.column("text")):
+            counts += np.bincount(_plain(kind)[_codes(batch.column("text").slice(low, high - low))], minlength=_POINTS)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["point", "c"])
+
+
+def alphabet_of(df: DataFrame, kind: str) -> Alphabet:
+    """Of all rows of df (text, not null); equally frequent characters in order of code points."""
+    found = bounded_batches(df).select("text").mapInArrow(partial(_characters, kind=kind), "point long, c long")
+    found = found.where(F.col("point") != BLANK).groupBy("point").agg(F.sum("c").alias("c"))
+    rows = found.orderBy(F.desc("c"), "point").limit(SYMBOLS - RARE - 1).collect()
+    return Alphabet(kind, tuple(r["point"] for r in rows))
+
+
+def grams(texts: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """The gram that ends in each character of each text (blanks stand before a text), and the texts' lengths."""
     texts = pc.fill_null(texts, "")
     lengths = pc.utf8_length(texts).to_numpy().astype(np.int64)
-    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    codes = _codes(texts)
     padded = np.full(len(codes) + (ORDER - 1) * (len(lengths) + 1), BLANK, np.uint64)
     at = np.arange(len(codes)) + (ORDER - 1) * (1 + np.repeat(np.arange(len(lengths)), lengths))
-    padded[at] = symbols(kind)[codes]
+    padded[at] = _symbols(alphabet)[codes]
     out = np.zeros(len(padded) - ORDER + 1, np.uint64)
     for i in range(ORDER):
         out = (out << np.uint64(SYMBOL_BITS)) | padded[i : i + len(out)]
@@ -72,7 +117,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 @releasing
-def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], alphabet: Alphabet) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def sent(name: str) -> pa.RecordBatch:
@@ -82,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBa
     for batch in batches:
         for low, high in slices(batch.column("text")):
             part = batch.slice(low, high - low)
-            found, lengths = grams(part.column("text"), kind)
+            found, lengths = grams(part.column("text"), alphabet)
             names = part.column("class").dictionary_encode()
             of = np.repeat(names.indices.to_numpy(), lengths)
             for i, name in enumerate(names.dictionary.to_pylist()):
@@ -97,9 +142,9 @@ def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBa
         yield sent(name)
 
 
-def count_grams(df: DataFrame, kind: str) -> DataFrame:
+def count_grams(df: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(class, gram, c) over all rows of df (class: string, text: string; neither null), stored."""
-    counted = bounded_batches(df).select("class", "text").mapInArrow(partial(_count, kind=kind), _COUNTS)
+    counted = bounded_batches(df).select("class", "text").mapInArrow(partial(_count, alphabet=alphabet), _COUNTS)
     return stored(counted.groupBy("class", "gram").agg(F.sum("c").alias("c")), "grams")
 
 
@@ -113,25 +158,46 @@ def _levels(counts: DataFrame, smoothing: str) -> list[DataFrame]:
     return levels[::-1]
 
 
-def _weighted(counts: DataFrame, smoothing: str) -> DataFrame:
-    """Adds alpha, what a seen gram keeps, and gamma, what its context leaves to the lower order."""
+def _kept(counts: DataFrame, bound: int | None) -> Column:
+    """Whether a gram stays: all grams of a class with as high a count do, as long as they are at most `bound`."""
+    if bound is None:
+        return F.lit(True)
+    # Counts by quarter powers of two: a bounded table, from which the least kept count of each class follows.
+    scale = F.floor(4 * F.log2("c")).cast("int")
+    least: dict[str, int] = {}
+    room: dict[str, int] = {}
+    for name, step, n in sorted(counts.groupBy("class", scale.alias("step")).count().collect(), key=lambda r: (r[0], -r[1])):
+        room[name] = room.get(name, bound) - n
+        least[name] = step if room[name] >= 0 else least.get(name, step + 1)
+    if not least:
+        return F.lit(True)
+    return scale >= F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("class")]
+
+
+def _weighted(counts: DataFrame, smoothing: str, kept: Column) -> DataFrame:
+    """The kept grams with alpha, what a gram keeps, and gamma, what its context leaves to the lower order.
+
+    Gamma is one less the alphas of the context's kept grams, from whole numbers: the discounts, and all of the left out.
+    """
+    counts = counts.withColumns({"context": F.shiftright("gram", SYMBOL_BITS), "kept": kept})
+    totals = counts.groupBy("class", "context").agg(
+        F.sum("c").alias("total"),
+        F.count(F.lit(1)).alias("types"),
+        F.sum(F.when(F.col("kept"), F.col("c"))).alias("held"),
+        F.count_if("kept").alias("held_types"),
+    )
+    out = counts.where("kept").join(totals.where("held_types > 0"), ["class", "context"])
     if smoothing == "kneser-ney":
         once = counts.groupBy("class").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
         # n1 / (n1 + 2 n2), kept off its ends so that every context leaves something
         discount = F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.coalesce(F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0)), F.lit(0.5))))
-        counts = counts.join(once.select("class", discount.alias("d")), "class")
-    else:
-        counts = counts.withColumn("d", F.lit(0.0))
-    context = F.shiftright("gram", SYMBOL_BITS)
-    counts = counts.withColumn("context", context)
-    totals = counts.groupBy("class", "context").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"))
-    out = counts.join(totals, ["class", "context"])
-    if smoothing == "kneser-ney":
-        alpha, gamma = (F.col("c") - F.col("d")) / F.col("total"), F.col("d") * F.col("types") / F.col("total")
+        out = out.join(once.select("class", discount.alias("d")), "class")
+        alpha = (F.col("c") - F.col("d")) / F.col("total")
+        gamma = (F.col("total") - F.col("held") + F.col("d") * F.col("held_types")) / F.col("total")
     else:  # Witten-Bell: as many pseudo-counts for the lower order as there are types
         both = F.col("total") + F.col("types")
-        alpha, gamma = F.col("c") / both, F.col("types") / both
-    return out.select("class", "gram", "context", "c", alpha.alias("alpha"), gamma.alias("gamma"))
+        alpha, gamma = F.col("c") / both, (both - F.col("held")) / both
+    return out.select("class", "gram", "context", alpha.alias("alpha"), gamma.alias("gamma"))
 
 
 class HashArray:
@@ -165,8 +231,8 @@ class HashArray:
 class Model:
     """Log-probability of the last symbol of a gram, for every class."""
 
-    def __init__(self, classes: list[str]) -> None:
-        self.classes = classes
+    def __init__(self, classes: list[str], alphabet: Alphabet) -> None:
+        self.classes, self.alphabet = classes, alphabet
         self.grams: list[HashArray] = []
         self.contexts: list[HashArray] = []
 
@@ -203,11 +269,11 @@ class Model:
         return out
 
 
-def totals(model: Model, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def totals(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log-probabilities of each text under each class, and the texts' lengths in characters."""
     sums, sizes = [np.zeros((0, len(model.classes)))], [np.zeros(0, np.int64)]
     for low, high in slices(texts, _SCORED_BYTES):
-        found, lengths = grams(texts.slice(low, high - low), kind)
+        found, lengths = grams(texts.slice(low, high - low), model.alphabet)
         scores = np.zeros((len(found) + 1, len(model.classes)))
         np.cumsum(model.score(found), axis=0, dtype=np.float64, out=scores[1:])
         ends = np.cumsum(lengths)
@@ -216,26 +282,15 @@ def totals(model: Model, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.nda
     return np.concatenate(sums), np.concatenate(sizes)
 
 
-def fit(df: DataFrame, kind: str, smoothing: str, classes: list[str], entries: int = ENTRIES) -> Model:
+def fit(df: DataFrame, kind: str, smoothing: str, classes: list[str], entries: int | None = ENTRIES) -> Model:
     """Model of the rows of df (class, text). At most `entries` grams and as many contexts come to the driver."""
-    model = Model(classes)
     if not classes:
-        return model  # nothing to learn from: every text scores alike
+        return Model(classes, Alphabet(kind))  # nothing to learn from: every text scores alike
+    model = Model(classes, alphabet_of(df, kind))
     index = {c: i for i, c in enumerate(classes)}
-    bound = entries // (ORDER * max(1, len(classes)))
-    for counts in _levels(count_grams(df, kind), smoothing):
-        rows = stored(_weighted(counts, smoothing), "weighted")
-        # Counts by quarter powers of two: a bounded table, from which the least kept count of each class follows.
-        scale = F.floor(4 * F.log2("c")).cast("int")
-        kept: dict[str, int] = {}
-        room = {c: bound for c in classes}
-        for name, step, n in sorted(rows.groupBy("class", scale.alias("step")).count().collect(), key=lambda r: (r[0], -r[1])):
-            room[name] -= n
-            if room[name] >= 0:
-                kept[name] = step
-        least = F.create_map(*[x for c in classes for x in (F.lit(c), F.lit(kept.get(c, 1 << 20)))])
-        rows = rows.where(scale >= least[F.col("class")])
-        found = rows.select("class", "gram", "alpha", "context", "gamma").toArrow()
+    bound = None if entries is None else entries // (ORDER * len(classes))
+    for counts in _levels(count_grams(df, model.alphabet), smoothing):
+        found = _weighted(counts, smoothing, _kept(counts, bound)).toArrow()
         of = np.array([index[c] for c in found.column("class").to_pylist()], np.int64)
         gram, context = (found.column(c).to_numpy().view(np.uint64) for c in ("gram", "context"))
         alpha, gamma = (found.column(c).to_numpy() for c in ("alpha", "gamma"))

@@ -38,7 +38,7 @@ class Detector:
 
 
 def _predict(model: charlm.Model, texts: pa.Array) -> pa.Array:
-    sums, sizes = charlm.totals(model, texts, "letters")
+    sums, sizes = charlm.totals(model, texts)
     letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     known = letters & (len(model.classes) > 0)
     entropy = -sums / np.maximum(sizes, 1)[:, None]
@@ -60,7 +60,7 @@ def _predictions(model: charlm.Model, columns: Iterator[pa.Array]) -> Iterator[p
 
 
 def _scored(df: DataFrame, model: charlm.Model, text_column: str, name: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by charlm.ENTRIES
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the entries it was fitted with
 
     @F.arrow_udf(_RESULT)
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -73,14 +73,16 @@ def _band(chars: Column) -> Column:
     return F.floor(F.log2(F.greatest(chars, F.lit(1)))).cast("int")
 
 
-def fit(df: DataFrame, learn: Column, calibrate: Column, text_column: str = "text", lang_column: str = "lang") -> Detector:
-    """Models from rows where `learn`, thresholds from rows where `calibrate`."""
+def fit(
+    df: DataFrame, learn: Column, calibrate: Column, text_column: str = "text", lang_column: str = "lang", entries: int | None = charlm.ENTRIES
+) -> Detector:
+    """Models from rows where `learn`, thresholds from rows where `calibrate`. For `entries` see `charlm`."""
     labelled = df.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     rows = labelled.where(learn).select(F.col(lang_column).cast("string").alias("class"), F.col(text_column).cast("string").alias("text"))
     classes = sorted(r[0] for r in rows.select("class").distinct().limit(LANGUAGES + 1).collect())
     if len(classes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    model = charlm.fit(rows, "letters", "kneser-ney", classes)
+    model = charlm.fit(rows, "letters", "kneser-ney", classes, entries)
     checked = _scored(labelled.where(calibrate).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")), model, "text", "found")
     checked = checked.where("found.lang_pred = lang").groupBy(_band(F.col("found.chars")).alias("band"))
     bands = checked.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("found.cross_entropy", QUANTILE, 10_000).alias("q")).collect()

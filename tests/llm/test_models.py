@@ -112,17 +112,79 @@ def test_encoding_on_edge_rows(edge, empty):
     assert pieces.encode(empty, PIECES).count() == 0
 
 
-def test_models_give_probabilities(spark):
-    df = spark.createDataFrame([("a", "abracadabra alakazam"), ("b", "zyx zyx xyz")], "class string, text string")
-    for smoothing in ("kneser-ney", "witten-bell"):
-        model = charlm.fit(df, "letters", smoothing, ["a", "b"])
-        context = charlm.grams(pa.array(["brac"]), "letters")[0][-1:] << np.uint64(charlm.SYMBOL_BITS) & np.uint64((1 << 60) - 1)
+LEARNED = [("a", "abracadabra alakazam Abra"), ("a", "banana band"), ("b", "zyx zyx xyz"), ("b", "日本語 日本 語")]
+
+
+@pytest.mark.parametrize("entries", [None, 1 << 21, 100, 0])
+@pytest.mark.parametrize("smoothing", ["kneser-ney", "witten-bell"])
+def test_models_give_probabilities(spark, smoothing, entries):
+    df = spark.createDataFrame(LEARNED, "class string, text string")
+    model = charlm.fit(df, "letters", smoothing, ["a", "b"], entries)
+    for before in ("brac", "日本語 ", "qqqq"):
+        context = charlm.grams(pa.array([before]), model.alphabet)[0][-1:] << np.uint64(charlm.SYMBOL_BITS) & np.uint64((1 << 60) - 1)
         every = context | np.arange(charlm.SYMBOLS, dtype=np.uint64)
-        assert np.allclose(np.exp(model.score(every).astype(np.float64)).sum(axis=0), 1, atol=2e-3), smoothing
-        (sums, _) = charlm.totals(model, pa.array(["abra", "zyx"]), "letters")
+        assert np.allclose(np.exp(model.score(every).astype(np.float64)).sum(axis=0), 1, atol=2e-3), before
+    if entries != 0:
+        (sums, _) = charlm.totals(model, pa.array(["abra", "zyx"]))
         assert sums[0, 0] > sums[0, 1] and sums[1, 1] > sums[1, 0]
 
 
+def _plain_model(texts, smoothing):
+    """Probability of a character after a context, straight from the definitions, over strings."""
+    counts = [{} for _ in range(charlm.ORDER + 1)]
+    for text in texts:
+        padded = "\x01" * (charlm.ORDER - 1) + text
+        for i in range(len(text)):
+            gram = padded[i : i + charlm.ORDER]
+            counts[charlm.ORDER][gram] = counts[charlm.ORDER].get(gram, 0) + 1
+    for order in range(charlm.ORDER - 1, 0, -1):
+        for gram, c in counts[order + 1].items():
+            counts[order][gram[1:]] = counts[order].get(gram[1:], 0) + (1 if smoothing == "kneser-ney" else c)
+
+    def probability(gram):
+        if not gram:
+            return 1 / charlm.SYMBOLS
+        level = counts[len(gram)]
+        followers = [c for g, c in level.items() if g[:-1] == gram[:-1]]
+        lower = probability(gram[1:])
+        if not followers:
+            return lower
+        total, types, c = sum(followers), len(followers), level.get(gram, 0)
+        if smoothing == "witten-bell":
+            return (c + types * lower) / (total + types)
+        n1, n2 = (sum(x == n for x in level.values()) for n in (1, 2))
+        d = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5))
+        return (max(c - d, 0) + d * types * lower) / total
+
+    return probability
+
+
+@pytest.mark.parametrize("smoothing", ["kneser-ney", "witten-bell"])
+def test_models_equal_their_definitions(spark, smoothing):
+    rows = [(c, t.lower().replace(" ", "\x01")) for c, t in LEARNED]
+    model = charlm.fit(spark.createDataFrame(LEARNED, "class string, text string"), "letters", smoothing, ["a", "b"], None)
+    judged = ["abra", "bandana", "xyzzy", "日本", "zqz", "a語", "band zyx alakazam"]
+    sums, sizes = charlm.totals(model, pa.array(judged))
+    for i, name in enumerate(["a", "b"]):
+        probability = _plain_model([t for c, t in rows if c == name], smoothing)
+        for text, found in zip(judged, sums[:, i], strict=True):
+            padded = "\x01" * (charlm.ORDER - 1) + text.replace(" ", "\x01")
+            wanted = sum(math.log(probability(padded[k : k + charlm.ORDER])) for k in range(len(text)))
+            assert abs(found - wanted) < 1e-4 * max(1, len(text)), (name, text)
+    assert sizes.tolist() == [len(t) for t in judged]
+
+
+def test_frequent_characters_have_symbols_of_their_own(spark, monkeypatch):
+    df = spark.createDataFrame([("ééa ba", "a"), ("b日", "a")], "text string, class string")
+    whole = charlm.alphabet_of(df, "letters")
+    assert [chr(p) for p in whole.points] == ["a", "b", "é", "日"]
+    assert len(set(charlm._symbols(whole)[[ord(c) for c in "aBé日 語"]].tolist())) == 6
+    monkeypatch.setattr(charlm, "SYMBOLS", 5)
+    few = charlm.alphabet_of(df, "letters")
+    assert [chr(p) for p in few.points] == ["a", "b"]
+    assert charlm._symbols(few)[[ord(c) for c in "aBé日 1"]].tolist() == [3, 4, charlm.RARE, charlm.RARE, charlm.BLANK, charlm.BLANK]
+
+
 def test_hash_array_finds_what_it_holds():
     keys = np.random.default_rng(1).integers(0, 1 << 60, 5000, dtype=np.uint64)
     keys = np.unique(keys)
