@@ -5,9 +5,12 @@ the 4,093 most frequent characters of the learning rows have one each, all rarer
 count the grams of their rows class by class in bounded arrays and send sums; all further statistics (continuation
 counts, counts of counts, context totals) are aggregations over all of them.
 
-The model is bounded by `entries` grams over all classes and orders, so it can be broadcast at any size of corpus: per
-class and order the rarest grams are left out by count, and what they held goes to the back-off weight of their context,
-so that probabilities still sum to one. `entries=None` keeps every gram; then the model grows with the corpus.
+The model of `fit` is bounded by `entries` grams over all classes and orders, so it can be broadcast at any size of
+corpus: per class and order the rarest grams are left out by count, and what they held goes to the back-off weight of
+their context, so that probabilities still sum to one. `entries=None` keeps every gram; then the model grows with the
+corpus. `fit_whole` leaves nothing out: a model of more than `entries` grams stays in stored tables (`Tables`). There the
+grams of the scored texts are priced by joins; the `entries` most frequent ones among them are broadcast with their
+prices, all others are joined to their texts.
 
 Model: for each order one array of sorted hashes with a row of log-probabilities, one per class, and the same for back-off
 weights of contexts. Probabilities of an order are interpolated with the next lower one; unknown grams back off.
@@ -25,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, releasing, slices, stored
+from .common import bounded_batches, free_name, mix, releasing, slices, stored
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -152,9 +155,8 @@ def _levels(counts: DataFrame, smoothing: str) -> list[DataFrame]:
     """Counts of order 1 to ORDER: Kneser-Ney counts in how many ways a lower gram continues one to the left."""
     levels = [counts]
     for order in range(ORDER - 1, 0, -1):
-        lower = F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * order)) - 1))
         c = F.count(F.lit(1)) if smoothing == "kneser-ney" else F.sum("c")
-        levels.append(stored(levels[-1].groupBy("class", lower.alias("gram")).agg(c.alias("c")), f"grams-{order}"))
+        levels.append(stored(levels[-1].groupBy("class", _lower(order).alias("gram")).agg(c.alias("c")), f"grams-{order}"))
     return levels[::-1]
 
 
@@ -269,6 +271,92 @@ class Model:
         return out
 
 
+@dataclass
+class Tables:
+    """A model too large to broadcast: of each order the alphas by gram and the gammas by context, an entry for each class."""
+
+    classes: list[str]
+    alphabet: Alphabet
+    alphas: list[DataFrame]
+    gammas: list[DataFrame]
+    entries: int
+
+    def priced(self, found: DataFrame) -> DataFrame:
+        """found (distinct grams, stored) plus `logs`: the log-probability of the last symbol, for every class."""
+        parts = [found.select("gram")]
+        for order in range(ORDER - 1, 0, -1):
+            parts.append(stored(parts[-1].select(_lower(order).alias("gram")).distinct(), "parts"))
+        n = range(len(self.classes))
+        below = None
+        for order, wanted in enumerate(parts[::-1], 1):
+            wanted = wanted.join(self.alphas[order - 1], "gram", "left")
+            wanted = wanted.withColumn("context", F.shiftright("gram", SYMBOL_BITS)).join(self.gammas[order - 1], "context", "left")
+            if below is not None:
+                wanted = wanted.withColumn("lower", _lower(order - 1)).join(below, "lower")
+            rest = [F.lit(1.0 / SYMBOLS) if below is None else F.col("p")[i] for i in n]
+            # An unknown gram has no alpha; an unknown context leaves everything to the lower order.
+            p = F.array(*[F.coalesce(F.col("alpha")[i], F.lit(0.0)) + F.coalesce(F.col("gamma")[i], F.lit(1.0)) * rest[i] for i in n])
+            below = wanted.select(F.col("gram").alias("lower"), p.alias("p"))
+        logs = F.transform("p", lambda x: F.log(x)).alias("logs")
+        return found.join(below.select(F.col("lower").alias("gram"), logs), "gram")
+
+    def add_totals(self, df: DataFrame, text_column: str, name: str) -> DataFrame:
+        """df (stored on the way) plus `name`: struct of sums, the log-probability of the text under each class, and chars."""
+        uid, more = (free_name(df.withColumn(name, F.lit(None)), c) for c in ("uid", "more"))
+        rows = stored(df.withColumn(uid, F.monotonically_increasing_id()), "texts")
+        texts = rows.where(F.col(text_column).isNotNull()).select(F.lit("").alias("class"), F.col(text_column).cast("string").alias("text"))
+        found = count_grams(texts, self.alphabet)
+        # Grams are kept by how often they stand in these texts, so none that is left for the join is a frequent key.
+        kept = _kept(found, self.entries)
+        priced = stored(self.priced(found.select("gram", kept.alias("kept"))), "prices")
+        table = priced.where("kept").select("gram", "logs").toArrow()
+        logs = table.column("logs").combine_chunks().flatten().to_numpy().reshape(-1, len(self.classes))
+        held = HashArray(table.column("gram").to_numpy().view(np.uint64), logs)
+        shared = df.sparkSession.sparkContext.broadcast((self.alphabet, held))  # bounded by `entries`
+
+        @F.arrow_udf("sums array<double>, chars long, rest array<long>")
+        def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            alphabet, held = shared.value
+            for texts in columns:
+                yield _known(alphabet, held, texts)
+
+        out = bounded_batches(rows).withColumn(name, known(F.col(text_column).cast("string")))
+        out = stored(out, "known")
+        left = out.select(uid, F.explode(f"{name}.rest").alias("gram")).join(priced.where("NOT kept").select("gram", "logs"), "gram")
+        left = left.groupBy(uid).agg(F.array(*[F.sum(F.col("logs")[i]) for i in range(len(self.classes))]).alias(more))
+        sums = F.zip_with(F.col(f"{name}.sums"), F.col(more), lambda a, b: a + b)
+        joined = out.join(left, uid, "left")
+        sums = F.when(F.col(more).isNull(), F.col(f"{name}.sums")).otherwise(sums)
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(sums.alias("sums"), F.col(f"{name}.chars").alias("chars")).alias(name))
+
+
+def _lower(order: int) -> Column:
+    """The last `order` symbols of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * order)) - 1))
+
+
+def _known(alphabet: Alphabet, held: HashArray, texts: pa.Array) -> pa.Array:
+    """Of each text the sums over its grams that are in `held`, its characters, and the grams that are not."""
+    sums, sizes, rests = [], [], []
+    for low, high in slices(texts, _SCORED_BYTES):
+        found, lengths = grams(texts.slice(low, high - low), alphabet)
+        at = held.find(found) if len(held.rows) else np.full(len(found), -1, np.int64)
+        scores = np.zeros((len(found) + 1, held.rows.shape[1]))
+        scores[1:][at >= 0] = held.rows[at[at >= 0]]
+        scores = np.cumsum(scores, axis=0)
+        ends = np.cumsum(lengths)
+        sums.append(scores[ends] - scores[ends - lengths])
+        sizes.append(lengths)
+        missing = np.concatenate([[0], np.cumsum(at < 0)])
+        part = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], missing[ends]]), pa.int32()), pa.array(found[at < 0].view(np.int64)))
+        rests.append(part)
+    n = held.rows.shape[1]
+    flat = np.concatenate([np.zeros((0, n)), *sums])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * n, pa.int32()), pa.array(flat.ravel()))
+    columns = [lists, pa.array(np.concatenate([np.zeros(0, np.int64), *sizes])), pa.concat_arrays([pa.array([], pa.list_(pa.int64())), *rests])]
+    return pa.StructArray.from_arrays(columns, ["sums", "chars", "rest"])
+
+
 def totals(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log-probabilities of each text under each class, and the texts' lengths in characters."""
     sums, sizes = [np.zeros((0, len(model.classes)))], [np.zeros(0, np.int64)]
@@ -286,10 +374,35 @@ def fit(df: DataFrame, kind: str, smoothing: str, classes: list[str], entries: i
     """Model of the rows of df (class, text). At most `entries` grams and as many contexts come to the driver."""
     if not classes:
         return Model(classes, Alphabet(kind))  # nothing to learn from: every text scores alike
-    model = Model(classes, alphabet_of(df, kind))
-    index = {c: i for i, c in enumerate(classes)}
+    alphabet = alphabet_of(df, kind)
     bound = None if entries is None else entries // (ORDER * len(classes))
-    for counts in _levels(count_grams(df, model.alphabet), smoothing):
+    return _collected(_levels(count_grams(df, alphabet), smoothing), smoothing, Model(classes, alphabet), bound)
+
+
+def fit_whole(df: DataFrame, kind: str, smoothing: str, classes: list[str], entries: int | None = ENTRIES) -> Model | Tables:
+    """Model of the rows of df (class, text) with every gram: on the driver up to `entries` of them (None: always), else in tables."""
+    if not classes:
+        return Model(classes, Alphabet(kind))
+    alphabet = alphabet_of(df, kind)
+    levels = _levels(count_grams(df, alphabet), smoothing)
+    if entries is None or sum(counts.count() for counts in levels) <= entries:
+        return _collected(levels, smoothing, Model(classes, alphabet), None)
+    alphas, gammas = [], []
+    for counts in levels:
+        weighted = stored(_weighted(counts, smoothing, F.lit(True)), "weights")
+
+        def by_class(key: str, value: str) -> DataFrame:
+            return weighted.groupBy(key).agg(F.array(*[F.max(F.when(F.col("class") == c, F.col(value))) for c in classes]).alias(value))
+
+        alphas.append(stored(by_class("gram", "alpha"), "alphas"))
+        gammas.append(stored(by_class("context", "gamma"), "gammas"))
+    return Tables(classes, alphabet, alphas, gammas, entries)
+
+
+def _collected(levels: list[DataFrame], smoothing: str, model: Model, bound: int | None) -> Model:
+    """`model` with all orders; of each class and order `bound` grams at most."""
+    index = {c: i for i, c in enumerate(model.classes)}
+    for counts in levels:
         found = _weighted(counts, smoothing, _kept(counts, bound)).toArrow()
         of = np.array([index[c] for c in found.column("class").to_pylist()], np.int64)
         gram, context = (found.column(c).to_numpy().view(np.uint64) for c in ("gram", "context"))
