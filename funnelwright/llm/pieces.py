@@ -32,6 +32,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from .common import bounded_batches, free_name, mix
 SEED = 20240607
 RATE = 0.1
 VARIANTS = 8
-# (variant, unit) cuts held in a worker: twice this number at most.
+# (variant, unit) cuts held in a worker: twice this number at most, and what one batch brings.
 CACHED = 150_000
 SIGN = "▁"
 _UNITS = re.compile(r" *[^ ]+| +$")
@@ -98,6 +99,7 @@ class PieceModel:
         self.bytes = [
             bytes([self.byte_ids.index(i)]) if model.is_byte(i) else b"" if model.is_control(i) else names[i].replace(SIGN, " ").encode() for i in range(n)
         ]
+        self.spelled = pa.array(self.bytes, pa.large_binary())
         self.held: list[dict] = [{}, {}]
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -285,6 +287,22 @@ class PieceModel:
         """The text, without the blank that encoding puts before it."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:].decode("utf-8", "replace")
 
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """`decode` of each list of ids, all in one array; null gives null."""
+        lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy().astype(np.int64)
+        _, offsets, data = self.spelled.take(rows.flatten()).buffers()
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        ends = np.frombuffer(offsets, np.int64)[np.concatenate([[0], np.cumsum(lengths)])]
+        some = np.diff(ends) > 0
+        data = np.delete(data[: ends[-1]], ends[:-1][some])
+        ends = ends - np.concatenate([[0], np.cumsum(some)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        try:
+            texts = found.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that make no whole characters
+            texts = pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+        return pc.if_else(rows.is_valid(), texts, pa.scalar(None, pa.string()))
+
 
 @cache
 def piece_model(path: str) -> PieceModel:
@@ -310,9 +328,7 @@ def encode(
         own = piece_model(model)
         for texts, keys in columns:
             numbers = keys.to_numpy().view(np.uint64)
-            lists, step = [], 256
-            for low in range(0, len(texts), step):
-                lists += own.encode(texts.slice(low, step).to_pylist(), numbers[low : low + step], seed, rate, variants)
+            lists = own.encode(texts.to_pylist(), numbers, seed, rate, variants)
             ends = np.cumsum([0] + [0 if x is None else len(x) for x in lists])
             flat = np.concatenate([np.zeros(0, np.int32), *[x for x in lists if x is not None]])
             missing = pa.array([x is None for x in lists])
@@ -328,6 +344,6 @@ def decoded(ids: Column, model: str) -> Column:
     def text_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = piece_model(model)
         for rows in columns:
-            yield pa.array([None if not r.is_valid else own.decode(r.values.to_pylist()) for r in rows], pa.string())
+            yield own.decode_all(rows)
 
     return text_of(ids)

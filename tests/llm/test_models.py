@@ -104,6 +104,18 @@ def test_merge_table_finds_every_merge_and_no_other():
     assert own.merged(left, right).tolist() == expected
 
 
+def test_lists_of_ids_are_decoded_together(sample):
+    own = pieces.PieceModel(PIECES)
+    ids = own.encode([*sample, None], np.arange(len(sample) + 1, dtype=np.uint64), 1, 0.2, 8)
+    rows = pa.array([None if x is None else x.tolist() for x in ids], pa.list_(pa.int32()))
+    assert own.decode_all(rows).to_pylist() == [*sample, None]
+    assert own.decode_all(rows.slice(len(sample) - 3)).to_pylist() == [*sample[-3:], None]
+    half = own.byte_ids["é".encode()[0]]  # no character by itself
+    odd = [[half], [], [*ids[len(sample) - 1].tolist(), half], [own.byte_ids[32], half]]
+    assert own.decode_all(pa.array(odd, pa.list_(pa.int32()))).to_pylist() == [own.decode(x) for x in odd]
+    assert own.decode_all(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
 def test_encoding_on_edge_rows(edge, empty):
     out = pieces.encode(edge, PIECES)
     assert out.columns[-1] == "_ids"
