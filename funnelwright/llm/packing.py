@@ -42,13 +42,13 @@ _STATE = "instance long, island int, uids binary, lengths binary, packings binar
 
 @releasing
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = word_tokenizer(tokenizer).encode_all
+    own = word_tokenizer(tokenizer)
     closing = CLOSING.to_bytes(4, "little")
     for batch in batches:
         row, number, start, length, crc, tokens = [], [], [], [], [], []
         texts = batch.column("text")
         for low, high in slices(texts):
-            for i, found in enumerate(encode(pc.fill_null(texts.slice(low, high - low), "").to_pylist()), low):
+            for i, found in enumerate(own.encode_all(pc.fill_null(texts.slice(low, high - low), "").to_pylist()), low):
                 ids = found + closing
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
@@ -65,6 +65,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids:
         if with_ids:
             columns, names = [*columns, pa.array(tokens, pa.binary())], [*names, "ids"]
         yield pa.RecordBatch.from_arrays(columns, names)
+    own.forget()
 
 
 def pieces(df: DataFrame, id_column: str, text_column: str, tokenizer: str, size: int = LENGTH, with_ids: bool = False) -> DataFrame:

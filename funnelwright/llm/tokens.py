@@ -8,14 +8,16 @@ from functools import cache
 import numpy as np
 
 # Words held twice over at most: recent ones, and those before them.
-CACHED = 200_000
+CACHED = 100_000
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
     """Ids as a `tokenizers` file gives them for the whole text.
 
     Holds for tokenizers that never join text across ASCII white space and drop that space, such as the one with word
-    ends: then a text's ids are the ids of its words, and a word is encoded once while it stays in the cache.
+    ends: then a text's ids are the ids of its words, and a word is encoded once while it stays in the cache. Where the
+    tokenizer also parts letters from the signs behind them, a word with such signs is put together from both.
     """
 
     def __init__(self, path: str) -> None:
@@ -26,9 +28,21 @@ class WordTokenizer:
         upper = "".join(map(chr, range(65, 91)))
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None and normalizer.normalize_str(upper) == upper.lower()
+        # Signs that stay apart from any letter before them, and stand in no token that is looked for in the raw text.
+        added = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.signs = "".join(s for s in SIGNS if s not in added and self._parted(s)).encode()
+        # Ids of tokens that end a run; there are such where the model marks word ends.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _parted(self, sign: str) -> bool:
+        split = self.tokenizer.pre_tokenizer
+        letters = map(chr, [*range(65, 91), *range(97, 123)])
+        return split is not None and all([at for _, at in split.pre_tokenize_str(c + sign)] == [(0, 1), (1, 2)] for c in letters)
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return self.encode_all([text])[0]
@@ -39,23 +53,58 @@ class WordTokenizer:
         split = [(x.lower() if self.lower and text.isascii() else x).split() for text in texts for x in (text.encode(),)]
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
-        missing = []
-        for word in set().union(*split).difference(self.new):
-            known = self.old.get(word)
+        whole, signed = set(), []
+        for word in self._missing(set().union(*split)):
+            stem = word.rstrip(self.signs)
+            if len(stem) < len(word) and stem[-1:].isalpha():
+                signed.append((word, stem, word[len(stem) :]))
+            else:
+                whole.add(word)
+        whole.update(self._missing({part for _, *parts in signed for part in parts}))
+        self._learn(list(whole))
+        new = self.new
+        for word, stem, tail in signed:
+            new[word] = new[stem] + new[tail]
+        return [b"".join(map(new.__getitem__, words)) for words in split]
+
+    def forget(self) -> None:
+        """Let go of all words: a Python worker lives on beside the stages that follow."""
+        self.new, self.old = {}, {}
+
+    def _missing(self, words: set[bytes]) -> list[bytes]:
+        """Words that are not held; the others are recent from now on."""
+        missing, new, old = [], self.new, self.old
+        for word in words.difference(new):
+            known = old.get(word)
             if known is None:
                 missing.append(word)
             else:
-                self.new[word] = known
-        for low in range(0, len(missing), 4096):
-            # Many words are encoded as one text; offsets tell which ids are whose.
-            part = b" ".join(missing[low : low + 4096]).decode().split(" ")
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.offsets))
-            cuts = (4 * np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in part]))).tolist()
-            for word, first, last in zip(missing[low : low + 4096], cuts, cuts[1:]):
-                self.new[word] = ids[first:last]
-        return [b"".join(map(self.new.__getitem__, words)) for words in split]
+                new[word] = known
+        return missing
+
+    def _learn(self, words: list[bytes]) -> None:
+        # Many words are encoded as one text.
+        pairs = list(zip(words, b" ".join(words).decode().split(" "))) if words else []
+        for kind in (True, False):
+            own = [x for x in pairs if x[1].isalpha() == kind]
+            for low in range(0, len(own), 4096):
+                part = own[low : low + 4096]
+                ids, cuts = self._cut([w for _, w in part], kind)
+                for (word, _), first, last in zip(part, cuts, cuts[1:]):
+                    self.new[word] = ids[first:last]
+
+    def _cut(self, words: list[str], letters: bool) -> tuple[bytes, list[int]]:
+        """Ids of the words, one after the other, and the bytes at which each begins and the last one ends."""
+        text = " ".join(words)
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words):  # every word of letters has one run at least, so here each has just one
+                return ids.tobytes(), [0, *(4 * ends).tolist()]
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        at = np.fromiter((first for first, _ in found.offsets), np.int64, len(found.offsets))
+        cuts = 4 * np.searchsorted(at, np.cumsum([0] + [len(w) + 1 for w in words]))
+        return np.array(found.ids, "<u4").tobytes(), cuts.tolist()
 
 
 @cache

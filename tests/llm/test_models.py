@@ -274,6 +274,24 @@ def test_word_by_word_ids_are_those_of_the_whole_text(sample):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text[:50]
 
 
+def test_words_with_signs_are_put_together_from_both(sample):
+    own = WordTokenizer(WORDS)
+    texts = ["word, word. (Word) it's, x's. a-, -,. a1. é, ê... o'. we'll; abc<|endoftext|>, e\u0301, H\u0331.", "word", "word,", "K\u0338="]
+    texts += [t[::-1] for t in sample[:20]]
+    want = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoded, encode = [], own._cut
+    own._cut = lambda words, letters: encoded.extend(words) or encode(words, letters)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == want
+    assert "word" in encoded and "word," not in encoded and "word." not in encoded and len(set(encoded)) == len(encoded)
+
+
+def test_a_worker_that_has_cut_its_rows_holds_no_words():
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, and more words", None])], ["id", "text"])
+    assert sum(b.num_rows for b in packing._cut(iter([rows, rows]), WORDS, 4096, False)) == 4
+    own = packing.word_tokenizer(WORDS)
+    assert not own.new and not own.old
+
+
 def _valid(out, size):
     used = {}
     for r in out:
