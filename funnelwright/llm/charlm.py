@@ -37,7 +37,7 @@ ENTRIES = 1 << 21
 # Distinct grams a task holds before it sends what it has counted.
 HELD = 1 << 19
 # Scored at a time: a few arrays of eight bytes a character and class.
-_SCORED_BYTES = 1 << 18
+_SCORED_BYTES = 1 << 17
 BLANK, RARE = 1, 2
 _POINTS = 0x110000
 _COUNTS = "class string, gram long, c long"
@@ -46,18 +46,19 @@ _COUNTS = "class string, gram long, c long"
 @cache
 def _plain(kind: str) -> np.ndarray:
     """The character each code point stands for. `letters`: small letters, all else is BLANK. `url`: small letters, one digit, signs."""
-    points = np.arange(_POINTS, dtype=np.uint32)
     out = np.full(_POINTS, BLANK, np.uint32)
-    whole = np.ones(_POINTS, bool)
-    whole[0xD800:0xE000] = False
-    chars = points[whole].tobytes().decode("utf-32-le")
-    small = np.array([ord(c.lower()[0]) for c in chars], np.uint32)
-    if kind == "letters":
-        wanted = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    else:
-        wanted = np.ones(len(chars), bool)
-        small[np.fromiter((c.isdigit() for c in chars), bool, len(chars))] = ord("0")
-    out[points[whole][wanted]] = small[wanted]
+    # In stretches: a million characters at once would be as many Python objects in every worker.
+    for low in range(0, _POINTS, 1 << 14):
+        points = np.arange(low, min(low + (1 << 14), _POINTS), dtype=np.uint32)
+        points = points[(points < 0xD800) | (points >= 0xE000)]
+        chars = points.tobytes().decode("utf-32-le")
+        small = np.array([ord(c.lower()[0]) for c in chars], np.uint32)
+        if kind == "letters":
+            wanted = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
+        else:
+            wanted = np.ones(len(chars), bool)
+            small[np.fromiter((c.isdigit() for c in chars), bool, len(chars))] = ord("0")
+        out[points[wanted]] = small[wanted]
     return out
 
 
