@@ -47,14 +47,19 @@ def releasing(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
     @functools.wraps(task)
     def run(*args, **kwargs) -> Iterator:
         yield from task(*args, **kwargs)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C libraries, glibc holds on to it and offers this
-        if trim is not None:
-            trim(0)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C libraries, glibc holds on to it and offers this
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, or a variant that clashes with no column of df (names compare without case, as in Spark)."""
     taken = {c.lower() for c in df.columns}

@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, bounded_batches, free_name, mix, releasing, shuffle_partitions, slices, utf8, word_bounds, word_hashes
+from .common import RollingHash, bounded_batches, free_name, mix, release, releasing, shuffle_partitions, slices, utf8, word_bounds, word_hashes
 
 WINDOW = 35
-# Windows in a bucket: 32 MB of hashes, a few times that in a task's memory.
+# Windows in a bucket: 32 MB of hashes, held twice (as they came and in one piece) and put in order range by range.
 BUCKET_WINDOWS = 1 << 22
+RANGES = 16
+# Windows hashed at a time: the running sums need powers for as many words, and a Python worker keeps those.
+STRETCH = 1 << 15
 SLICE_BYTES = 1 << 21
 _FIRST, _SECOND = RollingHash(0xD1B54A32D192ED03), RollingHash(0x8CB92BA72F3D8DD7)
 
@@ -51,8 +54,13 @@ def _windows(words: np.ndarray, first: np.ndarray, window: int, buckets: int) ->
     """Start word, row, hash and bucket of each window, in order."""
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     starts = np.flatnonzero(np.arange(len(words)) + window <= first[1:][rows])
-    hashes = mix(_FIRST(words, starts, starts + window))
-    bucket = (mix(_SECOND(mix(words), starts, starts + window)) % np.uint64(buckets)).astype(np.int64)
+    hashes, bucket = np.empty(len(starts), np.uint64), np.empty(len(starts), np.int64)
+    for low in range(0, len(starts), STRETCH):
+        own = slice(low, low + STRETCH)
+        first, at = starts[low], starts[own] - starts[low]
+        part = words[first : first + at[-1] + window]
+        hashes[own] = mix(_FIRST(part, at, at + window))
+        bucket[own] = mix(_SECOND(mix(part), at, at + window)) % np.uint64(buckets)
     return starts, rows[starts], hashes, bucket
 
 
@@ -107,18 +115,34 @@ def _send(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Itera
             )
 
 
+def _repeated(hashes: np.ndarray) -> np.ndarray:
+    """For each hash: is it there more than once? They are scrambled, so ranges of them are about equally large."""
+    repeated, part = np.zeros(len(hashes), bool), np.empty(len(hashes), np.uint8)
+    for low in range(0, len(hashes), STRETCH):
+        part[low : low + STRETCH] = (hashes[low : low + STRETCH] >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
+    for i in range(RANGES):
+        at = np.flatnonzero(part == i)
+        order = at[np.argsort(hashes[at])]
+        own = hashes[order]
+        same = own[1:] == own[:-1]
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+    return repeated
+
+
+def _marks(bucket: pa.Table) -> np.ndarray:
+    """One byte for each window of a bucket: repeated or not."""
+    flags = _all(bucket.column("flags"), np.uint8)
+    marks = (flags & KNOWN > 0).astype(np.uint8)
+    marks[flags & SENT > 0] |= _repeated(_all(bucket.column("hashes"), np.uint64))
+    return marks
+
+
 def _count(bucket: pa.Table, lanes: int) -> pa.Table:
     """Which windows of one bucket occur more than once: texts that have any, packed by where they return to."""
+    marks = _marks(bucket)
     keys = _all(bucket.column("keys"), np.int64).reshape(-1, 2)
-    counts, flags = _all(bucket.column("counts"), np.int32), _all(bucket.column("flags"), np.uint8)
-    hashes = _all(bucket.column("hashes"), np.uint64)
-    order = np.argsort(hashes)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    repeated = np.zeros(len(hashes), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    marks = (flags & KNOWN > 0).astype(np.uint8)
-    marks[np.flatnonzero(flags & SENT)] |= repeated
+    counts = _all(bucket.column("counts"), np.int32)
     some = np.add.reduceat(marks, np.cumsum(counts) - counts, dtype=np.int64) > 0
     marks, keys, counts = marks[np.repeat(some, counts)], keys[some], counts[some]
     lane = (mix(keys[:, 0].view(np.uint64)) % np.uint64(lanes)).astype(np.int64)
@@ -225,10 +249,17 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
     def count(bucket: pa.Table) -> pa.Table:
-        return _count(bucket, buckets)
+        marks = _count(bucket, buckets)
+        release()
+        return marks
+
+    def gather(lane: pa.Table) -> pa.Table:
+        marks = _gather(lane)
+        release()
+        return marks
 
     back = sent.groupBy("bucket").applyInArrow(count, _BACK)
-    marks = back.groupBy("lane").applyInArrow(_gather, _MARKS)
+    marks = back.groupBy("lane").applyInArrow(gather, _MARKS)
     k1, k2, *packed = (free_name(df, c.split(" ")[0]) for c in _MARKS.split(", "))
     marks = marks.toDF(k1, k2, *packed)
     apply = F.arrow_udf(_iterator(window, buckets), RESULT)

@@ -2,14 +2,17 @@
 
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_helpers import DOCS, ROWS, edge, empty
 from pyspark.sql import functions as F
 
-from funnelwright.llm import quality, secrets, sharding
+from funnelwright.llm import quality, secrets, sharding, substring
 from funnelwright.llm.substring import dedup_substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +211,33 @@ def test_a_passage_in_a_third_of_all_rows_goes(spark):
     assert {r.n_removed: r["count"] for r in out} == {0: 2000, 50: 1000}
 
 
+def test_a_bucket_of_windows_takes_little_beside_its_hashes():
+    n = 1 << 20
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, n, dtype=np.uint64)
+    hashes[-1000:] = hashes[:1000]
+    packed = {"keys": np.arange(32), "counts": np.full(16, n // 16, np.int32), "flags": np.full(n, substring.SENT, np.uint8), "hashes": hashes}
+    bucket = pa.table({"bucket": [5], **{k: [v.tobytes()] for k, v in packed.items()}})
+    tracemalloc.start()
+    back = substring._count(bucket, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n  # the hashes in one piece are 8 of these
+    marks = np.frombuffer(back.column("marks")[0].as_py(), np.uint8)
+    assert np.flatnonzero(marks).tolist() == [*range(1000), *range(n // 8 - 1000, n // 8)]
+    assert np.frombuffer(back.column("keys")[0].as_py(), np.int64).tolist() == [0, 1, 30, 31]
+
+
+def test_windows_hashed_in_stretches():
+    words = np.random.default_rng(2).integers(0, 1 << 64, 5 * substring.STRETCH, dtype=np.uint64)
+    first = np.array([0, 20, 20, 3 * substring.STRETCH + 7, len(words)])
+    starts, rows, hashes, bucket = substring._windows(words, first, 35, 7)
+    want = [i for a, b in zip(first, first[1:]) for i in range(a, b - 34)]
+    assert starts.tolist() == want and all(first[rows] <= starts) and all(starts + 35 <= first[rows + 1])
+    whole = substring.RollingHash(substring._FIRST.base)(words, starts, starts + 35)
+    assert (hashes == substring.mix(whole)).all() and bucket.min() >= 0 and bucket.max() <= 6
+    assert len(substring._FIRST.up) <= 1 << 17  # powers that a worker keeps
+
+
 def test_substrings_on_edge_rows(edge, empty):
     out = dedup_substrings(edge)
     assert out.columns[-4:] == ["_n_words", "n_removed", "kept_text", "removed"] and out.count() == len(ROWS)
