@@ -17,6 +17,7 @@ the lower island; repeated rows are packed each; null ids are ordinary; an empty
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ CLOSING = 1
 ITEMS = 4096
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 6, 10, 3
 SEED = 20240607
+# Bytes of text whose words are looked up together.
+SLICE_BYTES = 1 << 22
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 _STATE = "instance long, island int, uids binary, lengths binary, packings binary, bins int, fill double, solved boolean"
 
@@ -47,9 +49,10 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, with_ids:
     for batch in batches:
         row, number, start, length, crc, tokens = [], [], [], [], [], []
         texts = batch.column("text")
-        for low, high in slices(texts):
-            for i, found in enumerate(own.encode_all(pc.fill_null(texts.slice(low, high - low), "").to_pylist()), low):
-                ids = found + closing
+        for low, high in slices(texts, SLICE_BYTES):
+            found, ends = own.encode_column(texts.slice(low, high - low))
+            for i, (first, last) in enumerate(itertools.pairwise(ends.tolist()), low):
+                ids = found[first:last].tobytes() + closing
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     row.append(i)

@@ -285,6 +285,28 @@ def test_words_with_signs_are_put_together_from_both(sample):
     assert "word" in encoded and "word," not in encoded and "word." not in encoded and len(set(encoded)) == len(encoded)
 
 
+def test_a_word_goes_to_the_tokenizer_once_in_any_case_and_batch():
+    own = WordTokenizer(WORDS)
+    many = [f"{a}{b}{c}{d}" for a in "abcdefgh" for b in "abcdefghijklmnopqrstuvwxyz" for c in "aeiou" for d in (*"bcdfghjklmnprst", "ñ", "1")]
+    texts = ["Größe Word word WORD, word. GRÖSSE", None, "", " \t", " ".join(many[:9000]), " ".join(many[9000:]).upper(), "word " + " ".join(many)]
+    encoded, encode = [], own._cut
+    own._cut = lambda words, kind: encoded.extend(words) or encode(words, kind)
+    want = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for low, high in ((0, 5), (5, 7), (0, 7)):
+        ids, ends = own.encode_column(pa.array(["x", *texts[low:high]]).slice(1))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[low:high]
+    assert len(set(encoded)) == len(encoded) and "word" in encoded and not {"Word", "WORD", "WORD,"} & set(encoded)
+
+
+def test_words_that_made_way_are_known_or_learned_again(monkeypatch):
+    monkeypatch.setattr("funnelwright.llm.tokens.CACHED", 3)
+    own = WordTokenizer(WORDS)
+    for text in ("one two three four, five", "six seven one", "eight nine ten four", "one two, 日本語 six", "five eight! one"):
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want
+        assert len(set(own.new.words.to_pylist())) == len(own.new) <= 3 + 6
+
+
 def test_a_worker_that_has_cut_its_rows_holds_no_words():
     rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, and more words", None])], ["id", "text"])
     assert sum(b.num_rows for b in packing._cut(iter([rows, rows]), WORDS, 4096, False)) == 4
